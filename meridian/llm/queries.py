@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, quality, unigram
+from . import byte_bpe, html_text, quality, sharding, toxicity, unigram, url_filter
+from .common import train_rows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,5 +34,24 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.token_counts(table(spark, sf_dir, "documents"), vocabulary)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_byte_bpe, op4_token_counts)}
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), modulus=5)
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", (train_rows("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"), 24)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_byte_bpe, op4_token_counts, op6_url_filter, op7_html_text, op8_toxicity, op9_sharding)}
 ORACLE: dict[str, str] = {}
