@@ -59,8 +59,9 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     p = F.col("_p")
     covered = F.aggregate(F.transform(p, lambda x, k: F.least(F.lit(WINDOW), x - F.coalesce(F.get(p, k - 1), F.lit(-WINDOW)))), F.lit(0), lambda a, x: a + x)
     chars = F.length(t)
-    return d.select(
-        "doc_id",
+    # one row in, one row out: the generator keeps filters on the measurements above them, where pushing
+    # a filter down would write every expression into the next one again and again
+    measures = F.struct(
         F.size(w).cast("long").alias("n_words"),
         _without(t, _BLANK).cast("long").alias("word_chars"),
         (chars - _without(t, SYMBOLS)).cast("long").alias("n_symbols"),
@@ -69,6 +70,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.coalesce(F.when(p.isNotNull(), covered), F.lit(0)).cast("long").alias("n_repeat_words"),
         F.length(F.regexp_replace(t, "\\P{Lu}+", "")).cast("long").alias("n_upper"),
     )
+    return d.select("doc_id", F.inline(F.array(measures)))
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -103,6 +105,7 @@ def ablations(led: DataFrame, version: str) -> DataFrame:
     )
 
 
-def rejects(docs: DataFrame, version: str = "v1") -> DataFrame:
-    """Ids of the rows that a policy rejects."""
-    return apply_policy(ledger(docs), version).where(~F.col("kept")).select("doc_id")
+def clean(docs: DataFrame, version: str = "v1", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that a policy keeps; no shuffle."""
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].alias("text"))
+    return apply_policy(ledger(whole, "row", "text"), version).where("kept").select("doc_id.*")
