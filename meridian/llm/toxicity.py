@@ -216,24 +216,42 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int | None = 5, limit: int
     return vocabulary, weight, index, prior
 
 
+def _rate(model, text: pa.Array) -> tuple[list[float], list[list[str]], list[list[float]]]:
+    """Scores, neighbours and similarities of a batch of texts."""
+    vocabulary, idf, index, prior = model
+    doc, term, tf, _ = _doc_terms(text, vocabulary)
+    w = _unit(doc, term, tf, idf, len(text)) if len(doc) else np.zeros(0)
+    cut = np.searchsorted(doc, np.arange(len(text) + 1))
+    out, ids, sims = [], [], []
+    for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        place, sim = index.nearest(term[i:j], w[i:j], NEIGHBOURS) if j > i else (np.zeros(0, dtype=np.int64), np.zeros(0))
+        out.append(float((np.dot(sim, index.labels[place]) + PRIOR * prior) / (sim.sum() + PRIOR)))
+        ids.append(index.ids[place].tolist())
+        sims.append(sim.tolist())
+    return out, ids, sims
+
+
 def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, evidence_ids, evidence_sims for every row."""
     d = id_and_text(docs, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_EXAMPLES and MAX_TERMS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, idf, index, prior = shared.value
         for b in slices(batches, "text", 8 << 20):
-            doc, term, tf, _ = _doc_terms(b.column("text"), vocabulary)
-            w = _unit(doc, term, tf, idf, b.num_rows) if len(doc) else np.zeros(0)
-            cut = np.searchsorted(doc, np.arange(b.num_rows + 1))
-            out, ids, sims = [], [], []
-            for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                place, sim = index.nearest(term[i:j], w[i:j], NEIGHBOURS) if j > i else (np.zeros(0, dtype=np.int64), np.zeros(0))
-                out.append(float((np.dot(sim, index.labels[place]) + PRIOR * prior) / (sim.sum() + PRIOR)))
-                ids.append(index.ids[place].tolist())
-                sims.append(sim.tolist())
+            out, ids, sims = _rate(shared.value, b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.float64()), pa.array(ids, pa.list_(pa.string())), pa.array(sims, pa.list_(pa.float64()))], names=["doc_id", "score", "evidence_ids", "evidence_sims"])
 
     kind = d.schema["doc_id"].dataType.simpleString()
     return d.mapInArrow(run, f"doc_id {kind}, score double, evidence_ids array<string>, evidence_sims array<double>")
+
+
+def clean(docs: DataFrame, model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that score below the threshold; no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, text_col, 8 << 20):
+            out, _, _ = _rate(shared.value, pc.fill_null(b.column(text_col), ""))
+            yield b.filter(pa.array(np.array(out) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
