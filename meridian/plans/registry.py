@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import retrieval  # noqa: F401
+from . import etl, retrieval  # noqa: F401
 from .oracle import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
