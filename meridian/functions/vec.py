@@ -15,6 +15,15 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with value computed once a row.
+
+    A lambda that names a column may have that column's expression put in its place and then work it
+    out again for every element; a bound variable can't.
+    """
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def total(a) -> Column:
     return F.aggregate(_c(a), F.lit(0.0), lambda s, x: s + x)
 
@@ -28,12 +37,12 @@ def norm(v) -> Column:
 
 
 def scaled(v, k) -> Column:
-    return F.transform(_c(v), lambda x: x * k)
+    return let(_k(k), lambda c: F.transform(_c(v), lambda x: x * c))
 
 
 def added(u, v, k=1.0) -> Column:
     """u + k v."""
-    return F.zip_with(_c(u), _c(v), lambda x, y: x + _k(k) * y)
+    return let(_k(k), lambda c: F.zip_with(_c(u), _c(v), lambda x, y: x + c * y))
 
 
 def _k(k):
@@ -42,8 +51,7 @@ def _k(k):
 
 def normalised(df: DataFrame, name: str, v) -> DataFrame:
     """Adds name = v / max(norm, 1e-12)."""
-    d = df.withColumn(name, _c(v)).withColumn("_n", F.greatest(norm(name), F.lit(EPS)))
-    return d.withColumn(name, F.transform(name, lambda x: x / F.col("_n"))).drop("_n")
+    return df.withColumn(name, let(_c(v), lambda a: let(F.greatest(norm(a), F.lit(EPS)), lambda n: F.transform(a, lambda x: x / n))))
 
 
 def truncated(df: DataFrame, name: str, v, dim: int) -> DataFrame:
@@ -83,21 +91,25 @@ def radius(n) -> Column:
 
 def clamped(v) -> Column:
     """The point, moved into the open ball if need be."""
-    k = F.least(F.lit(1.0), F.lit(1 - 1e-6) / F.greatest(norm(v), F.lit(EPS)))
-    return F.transform(F.arrays_zip(_c(v).alias("x"), F.array_repeat(k, F.size(_c(v))).alias("k")), lambda z: z["x"] * z["k"])
+    return scaled(v, F.least(F.lit(1.0), F.lit(1 - 1e-6) / F.greatest(norm(v), F.lit(EPS))))
 
 
 def mobius_add(df: DataFrame, name: str, u: str, v: str) -> DataFrame:
-    d = df.withColumns({"_uv": dot(u, v), "_uu": dot(u, u), "_vv": dot(v, v)})
-    d = d.withColumn("_den", F.greatest(1 + 2 * F.col("_uv") + F.col("_uu") * F.col("_vv"), F.lit(EPS)))
-    a, b = 1 + 2 * F.col("_uv") + F.col("_vv"), 1 - F.col("_uu")
-    return d.withColumn(name, F.zip_with(u, v, lambda x, y: (a * x + b * y) / F.col("_den"))).drop("_uv", "_uu", "_vv", "_den")
+    uv, uu, vv = dot(u, v), dot(u, u), dot(v, v)
+    k = F.struct(uv.alias("uv"), uu.alias("uu"), vv.alias("vv"))
+
+    def both(k):
+        den = F.greatest(1 + 2 * k["uv"] + k["uu"] * k["vv"], F.lit(EPS))
+        return let(F.struct(((1 + 2 * k["uv"] + k["vv"]) / den).alias("a"), ((1 - k["uu"]) / den).alias("b")), lambda c: F.zip_with(u, v, lambda x, y: c["a"] * x + c["b"] * y))
+
+    return df.withColumn(name, let(k, both))
 
 
 def mobius_scale(df: DataFrame, name: str, t, x: str) -> DataFrame:
-    d = df.withColumn("_n", norm(x))
-    k = F.when(F.col("_n") < EPS, F.lit(0.0)).otherwise(F.tanh(_c(t) * F.atanh(F.least(F.col("_n"), F.lit(1 - EPS)))) / F.col("_n"))
-    return d.withColumn("_k", k).withColumn(name, F.transform(x, lambda z: z * F.col("_k"))).drop("_n", "_k")
+    def factor(n):
+        return F.when(n < EPS, F.lit(0.0)).otherwise(F.tanh(_c(t) * F.atanh(F.least(n, F.lit(1 - EPS)))) / n)
+
+    return df.withColumn(name, scaled(x, let(norm(x), factor)))
 
 
 def geodesic(df: DataFrame, name: str, u: str, v: str, steps: int = 64) -> DataFrame:
@@ -117,10 +129,14 @@ def warped(df: DataFrame, v: str, r_max) -> DataFrame:
 
 def geodesic_shift(df: DataFrame, name: str, v: str, off: str, alpha) -> DataFrame:
     """v moved along the sphere against the offset's tangent part."""
-    d = df.withColumn("_d", scaled(off, F.lit(-1.0))).withColumn("_vd", dot(v, "_d"))
-    d = d.withColumn("_t", F.zip_with("_d", v, lambda x, y: x - F.col("_vd") * y)).withColumn("_tn", F.greatest(norm("_t"), F.lit(EPS)))
-    d = d.withColumn("_w", _k(alpha) * F.col("_tn"))
-    return d.withColumn(name, F.zip_with(v, "_t", lambda x, y: F.cos("_w") * x + F.sin("_w") * y / F.col("_tn"))).drop("_d", "_vd", "_t", "_tn", "_w")
+
+    def tangent(vo):
+        return F.zip_with(off, v, lambda o, x: vo * x - o)
+
+    def move(t):
+        return let(F.greatest(norm(t), F.lit(EPS)), lambda n: F.zip_with(v, t, lambda x, y: F.cos(_k(alpha) * n) * x + F.sin(_k(alpha) * n) * y / n))
+
+    return df.withColumn(name, let(let(dot(v, off), tangent), move))
 
 
 def exp0(v, curvature: float = 1.0) -> Column:

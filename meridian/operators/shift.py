@@ -38,9 +38,8 @@ def apply(docs: DataFrame, offs: DataFrame, alpha, vec: str = "vec", renormalise
     o = offs.select("lang", F.slice("off", 1, dim).alias("off") if dim else "off")
     d = docs.join(F.broadcast(o), "lang", "left")  # a row a language
     a = alpha if not isinstance(alpha, (int, float)) else F.lit(float(alpha))
-    d = d.withColumn("_moved", V.added(vec, "off", -a))
-    if renormalise:
-        d = V.normalised(d, "_moved", "_moved")
+    moved = V.added(vec, "off", -a)
+    d = V.normalised(d, "_moved", moved) if renormalise else d.withColumn("_moved", moved)
     return d.withColumn(vec, F.when(F.col("off").isNull(), F.col(vec)).otherwise(F.col("_moved"))).drop("_moved", "off")
 
 

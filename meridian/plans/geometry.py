@@ -256,7 +256,7 @@ def ball_retrieval(spark, d):
     c = X.vectors(spark, d).withColumn("v", F.slice("vec", 1, 5)).withColumn("n", V.norm("v"))
     m = F.broadcast(c.agg(F.avg("n").alias("mn")))
     b = c.crossJoin(m).withColumn("s", F.explode(F.array(*[F.lit(x) for x in (0.5, 1.0, 2.0)])))
-    b = b.withColumn("k", F.tanh(F.col("s") * F.col("n") / F.col("mn")) / F.col("n")).withColumn("part", F.col("s").cast("string")).select("part", "id", "lang", F.transform("v", lambda z: z * F.col("k")).alias("vec"))
+    b = b.withColumn("k", F.tanh(F.col("s") * F.col("n") / F.col("mn")) / F.col("n")).withColumn("part", F.col("s").cast("string")).select("part", "id", "lang", V.scaled("v", F.col("k")).alias("vec"))
     h = knn(b.where("lang <> 'en'"), b.where("lang = 'en'"), 3, "poincare")
     j = M.judged(h, c.select("id", "concept", "lang"))
     return j.groupBy(F.col("part").cast("double").alias("scale")).agg((F.count("*") / 3).alias("n"), r4(F.sum(F.col("match").cast("int")) / (F.count("*") / 3)).alias("hits3"))

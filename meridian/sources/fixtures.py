@@ -75,7 +75,7 @@ def ball(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     v5 = F.slice(F.col("embedding").cast("array<double>"), 1, 5)
     d = read(spark, sf_dir, "embeddings").select("vec_id", "label", v5.alias("v5")).withColumn("n", V.norm("v5"))
-    return d.withColumn("k", F.tanh(0.15 * (1 + F.col("label")) + F.col("n")) / F.col("n")).select("vec_id", "label", F.transform("v5", lambda x: x * F.col("k")).alias("x"))
+    return d.withColumn("k", F.tanh(0.15 * (1 + F.col("label")) + F.col("n")) / F.col("n")).select("vec_id", "label", V.scaled("v5", F.col("k")).alias("x"))
 
 
 def blocks(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
