@@ -38,12 +38,16 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
+def _longs(values: list[int]) -> Column:
+    """A constant array, as one expression."""
+    return F.from_json(F.lit(str(values)), "array<bigint>") if values else F.array().cast("array<bigint>")
+
+
 def range_of(splitters: list[tuple[int, int]]) -> Column:
     """The number of splitters at or below the key: a binary search in two constant arrays."""
     if not splitters:
         return F.lit(0)
-    a = F.array(*[F.lit(x).cast("long") for x, _ in splitters])
-    b = F.array(*[F.lit(y).cast("long") for _, y in splitters])
+    a, b = _longs([x for x, _ in splitters]), _longs([y for _, y in splitters])
     steps = F.array(*[F.lit(1 << i) for i in range(len(splitters).bit_length() - 1, -1, -1)])
 
     def step(lo, width):
@@ -94,7 +98,7 @@ def splitters(meta: DataFrame, n_ranges: int) -> tuple[list[tuple[int, int]], li
 
 
 def _lookup(values: list[int], at: Column) -> Column:
-    return F.get(F.array(*[F.lit(v).cast("long") for v in values]), at)
+    return F.get(_longs(values), at)
 
 
 def assign(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
