@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from . import byte_bpe, decontaminate, gru_lm, html_text, jaccard_join, quality, sharding, toxicity, unigram, url_filter
 from .common import train_rows
+from .oracle import ORACLE
+
+__all__ = ["ORACLE", "QUERIES"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,4 +72,3 @@ QUERIES = {
     f.__name__: f
     for f in (op1_quality_rules, op2_decontamination, op3_byte_bpe, op4_token_counts, op5_jaccard_join, op6_url_filter, op7_html_text, op8_toxicity, op9_sharding, op10_gru_lm)
 }
-ORACLE: dict[str, str] = {}
