@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Code points that separate words in every contract of this subpackage.
 SPACE = " \t\n\x0b\f\r"
+BATCH_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,9 +40,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """Arrow batches of at most BATCH_BYTES (the default is 64 MB), which bounds both sides of a Python task."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns that an operator needs; a null text counts as empty."""
-    return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return bounded_batches(df).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import coded, id_and_text, mix, slices, words_of
+from .common import bounded_batches, coded, id_and_text, mix, slices, words_of
 
 CHUNK = 20_000
 SHORTEST, LONGEST = 2, 8
@@ -226,5 +226,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, i
                 mask[[m[0] for m in _matches(shared.value, pc.fill_null(b.column(text_col), ""), min_score)]] = False
                 yield b.filter(pa.array(mask))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = bounded_batches(docs).mapInArrow(keep, docs.schema)
     return docs

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import bounded_batches, slices
 
 #: Pages from which weights are counted, at most: those with the smallest hashes of their ids.
 LABELLED_PAGES = 400
@@ -209,6 +209,6 @@ def main_text(pages: DataFrame, weights: dict[str, float] | None = None, id_col:
             out = [extract(page or "", weights) for page in b.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    d = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    d = bounded_batches(pages).select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     kind = d.schema["page_id"].dataType.simpleString()
     return d.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import coded, id_and_text, ranges, slices, train_rows, words_of
+from .common import bounded_batches, coded, id_and_text, ranges, slices, train_rows, words_of
 
 MAX_EXAMPLES = 20_000
 MAX_TERMS = 4_096
@@ -254,4 +254,4 @@ def clean(docs: DataFrame, model, threshold: float = 0.5, text_col: str = "text"
             out, _, _ = _rate(shared.value, pc.fill_null(b.column(text_col), ""))
             yield b.filter(pa.array(np.array(out) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)
