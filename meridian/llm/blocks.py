@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import hashed, pack, shuffle_partitions, slices, unpack
+from .common import hashed, pack, release, shuffle_partitions, slices, unpack
 
 #: Bytes of text in a block: bounds the memory of a task.
 BLOCK_BYTES = 8 << 20
@@ -140,6 +140,7 @@ def reassemble(values: DataFrame, docs: DataFrame, split: Split, buckets: int, f
                 raise RuntimeError("a block and its dictionary differ: the input changed between two readings")
             columns = {k: right.column(k).chunk(0)[i].values if right.column(k).num_chunks == 1 else right.column(k)[i].values for k in names}
             out.append(finish(lens, vals, unpack(right.column("counts")[i].as_py(), np.uint32).astype(np.int64), unpack(right.column("codes")[i].as_py(), np.uint32).astype(np.int64), columns))
+        release()
         return pa.concat_tables(out).cast(arrow) if out else arrow.empty_table()
 
     return values.groupBy("block").cogroup(positions(docs, split, buckets).groupBy("block")).applyInArrow(join, schema)

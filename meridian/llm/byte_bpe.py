@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from . import blocks
-from .common import id_and_text, pack, ranges, slices
+from .common import id_and_text, pack, ranges, release, slices
 
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 #: Texts with other white space around a space, or a space at an end, take the slower way.
@@ -94,6 +94,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
                 lens.append(pack(np.fromiter(map(len, got), np.uint32, len(got)) >> 2))
                 vals.append(pack(np.frombuffer(b"".join(got), np.uint8)))
             yield pa.RecordBatch.from_arrays([b.column("block"), b.column("start"), b.column("n"), pa.array(lens, pa.binary()), pa.array(vals, pa.binary())], names=["block", "start", "n", "lens", "vals"])
+            release()
 
     def finish(lens: bytes, vals: bytes, counts: np.ndarray, codes: np.ndarray, columns: dict) -> pa.Table:
         size = np.frombuffer(lens, np.uint32).astype(np.int64)

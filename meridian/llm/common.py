@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 #: Code points that separate words in every contract of this subpackage.
 SPACE = " \t\n\x0b\f\r"
 BATCH_BYTES = 16 << 20
+#: Bytes of text that a kernel works on at a time: its temporary arrays take some ten times as much.
+SLICE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,6 +54,13 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return bounded_batches(df).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def release() -> None:
+    """Give freed memory back to the system: several workers share an executor and outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a piece holds at most max_bytes of text, or one row."""
     for batch in batches:
@@ -64,6 +74,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int) -> Iter
             stop = max(start + 1, int(np.searchsorted(ends, before + max_bytes, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        release()
 
 
 def words_of(text: pa.Array) -> tuple[pa.Array, np.ndarray]:

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, coded, id_and_text, mix, slices, words_of
+from .common import SLICE_BYTES, bounded_batches, coded, id_and_text, mix, slices, words_of
 
 CHUNK = 20_000
 SHORTEST, LONGEST = 2, 8
@@ -155,7 +155,7 @@ def _seeded(docs: DataFrame, items: Items):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, total = words.value, 0
         each = np.zeros(len(items.words) + 1, dtype=np.int64)
-        for b in slices(batches, "text", 8 << 20):
+        for b in slices(batches, "text", SLICE_BYTES):
             dictionary, codes, _ = bare_words(b.column("text"))
             known = items.codes(dictionary)
             each += np.bincount(known[codes], minlength=len(each)) if len(codes) else 0
@@ -206,7 +206,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, i
     for shared in _chunks(d, benchmark, item_col, item_text):
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in slices(batches, "text", 8 << 20):
+            for b in slices(batches, "text", SLICE_BYTES):
                 got = _matches(shared.value, b.column("text"), min_score)
                 row, item, score, start, stop = zip(*got, strict=True) if got else ((),) * 5
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row, pa.int64())), pa.array([shared.value.ids[i] for i in item], item_type), pa.array(score, pa.float64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], names=["doc_id", "item_id", "score", "start_word", "end_word"])
@@ -221,7 +221,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, i
     for shared in _chunks(id_and_text(docs, id_col, text_col), benchmark, item_col, item_text):
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in slices(batches, text_col, 8 << 20):
+            for b in slices(batches, text_col, SLICE_BYTES):
                 mask = np.ones(b.num_rows, dtype=bool)
                 mask[[m[0] for m in _matches(shared.value, pc.fill_null(b.column(text_col), ""), min_score)]] = False
                 yield b.filter(pa.array(mask))

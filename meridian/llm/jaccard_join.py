@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import coded, hashed, id_and_text, materialize, mix, slices, words_of
+from .common import SLICE_BYTES, coded, hashed, id_and_text, materialize, mix, slices, words_of
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -97,7 +97,7 @@ def sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     d = id_and_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 8 << 20):
+        for b in slices(batches, "text", SLICE_BYTES):
             h, counts = shingles(b.column("text"))
             sk, j = sketches(h, counts), 0
             ids, sketch, e = [], [], 0
@@ -252,7 +252,7 @@ def verified(classes: DataFrame, fam: DataFrame, docs: DataFrame, threshold: flo
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 4 << 20):
+        for b in slices(batches, "text", SLICE_BYTES):
             h, counts = shingles(b.column("text"))
             ends = np.cumsum(counts)
             raw = [h[e - n : e].tobytes() for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]

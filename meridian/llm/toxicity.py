@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, coded, id_and_text, ranges, slices, train_rows, words_of
+from .common import SLICE_BYTES, bounded_batches, coded, id_and_text, ranges, slices, train_rows, words_of
 
 MAX_EXAMPLES = 20_000
 MAX_TERMS = 4_096
@@ -172,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int | None = 5, limit: int
     rows = id_and_text(docs, "doc_id", "text").join(F.broadcast(lab), "doc_id").select("doc_id", "text", "toxic")  # at most limit ids
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 4 << 20):
+        for b in slices(batches, "text", SLICE_BYTES // 2):
             y = np.asarray(b.column("toxic"), dtype=np.int64)
             doc, term, _, names = _doc_terms(b.column("text"), None)
             pos = np.bincount(term[y[doc] == 1], minlength=len(names))
@@ -196,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int | None = 5, limit: int
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 4 << 20):
+        for b in slices(batches, "text", SLICE_BYTES // 2):
             doc, term, tf, _ = _doc_terms(b.column("text"), shared.value)
             cut = np.searchsorted(doc, np.arange(b.num_rows + 1))
             yield pa.RecordBatch.from_arrays(
@@ -237,7 +237,7 @@ def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_EXAMPLES and MAX_TERMS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 8 << 20):
+        for b in slices(batches, "text", SLICE_BYTES):
             out, ids, sims = _rate(shared.value, b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.float64()), pa.array(ids, pa.list_(pa.string())), pa.array(sims, pa.list_(pa.float64()))], names=["doc_id", "score", "evidence_ids", "evidence_sims"])
 
@@ -250,7 +250,7 @@ def clean(docs: DataFrame, model, threshold: float = 0.5, text_col: str = "text"
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text_col, 8 << 20):
+        for b in slices(batches, text_col, SLICE_BYTES):
             out, _, _ = _rate(shared.value, pc.fill_null(b.column(text_col), ""))
             yield b.filter(pa.array(np.array(out) < threshold))
 
