@@ -330,6 +330,19 @@ def test_gru_adds_up_and_learns():
     assert gru_lm.log10_text(m, [k, k[:5]], [n, n[:5]], window=7) == pytest.approx(gru_lm.log10_text(m, [k, k[:5]], [n, n[:5]]), rel=1e-4)
 
 
+def test_gru_trains_on_every_document(spark, monkeypatch):
+    """No sample: all training tokens are trained on, in several tasks, and frequent words are the corpus's."""
+    monkeypatch.setattr(gru_lm, "TASK_TOKENS", 4_000)
+    rows = [(i, f"w{i % 7} only{i // 1000} and so on" + (" late" if i >= 2_400 else ""), "", "", 0) for i in range(2_800)] + [(None, "nullid word", "", "", 0)]
+    seen: list = []
+    got = gru_lm.score(spark.createDataFrame(rows, SCHEMA).repartition(3), seen=seen).collect()
+    held = {i for i, *_ in rows if i is not None and zlib.crc32(str(i).encode()) % 10 == 0}
+    c = collections.Counter(w for i, t, *_ in rows if i not in held for w in [*t.split(), "\n"])
+    assert seen[0].trained == seen[0].n == sum(c.values())
+    assert {w.decode(): k for w, k in seen[0].top.items()} == {w: k for k, w in enumerate(sorted((w for w in c if c[w] >= 3), key=lambda w: (-c[w], w.encode())))}
+    assert sum(r.score for r in got) > sum(r.base_score for r in got)
+
+
 def test_gradients():
     """Backpropagation against differences of the loss."""
     net = gru_lm.Network([3, 2], seed=1)
