@@ -116,6 +116,52 @@ def method_compare(spark, d):
     return out
 
 
+# The same over the whole documents that have vectors: no SQL (every text is a query), brute force in the tests.
+
+
+def _corpus_bm25(spark, d, k):
+    docs = X.corpus(spark, d).select("id", "lang", "text")
+    post = L.postings(docs)
+    return docs, post, L.sparse_topk(post.select("id", "term", F.col("tf").alias("w")), L.bm25_weights(post, docs), k)
+
+
+def _corpus_fused(spark, d):
+    v = X.vectors(spark, d)
+    dense, sparse = knn(v, v, 100), _corpus_bm25(spark, d, 100)[2]
+    return dense, sparse, L.rrf(dense, sparse)
+
+
+@query()
+def bm25_corpus(spark, d):
+    """Okapi BM25 among the corpus's whole documents; a query without a shared term has no row."""
+    return _corpus_bm25(spark, d, 10)[2].select("query_id", "doc_id", r4(F.col("score")).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def matched_terms_target(spark, d):
+    """Terms of a query that the target language's documents have."""
+    docs, post, _ = _corpus_bm25(spark, d, 1)
+    known = post.join(docs.where(F.col("lang") == X.PIVOT).select("id"), "id", "left_semi").select("term").distinct().withColumn("known", F.lit(1))
+    g = post.join(known, "term", "left").groupBy(F.col("id").alias("query_id")).agg(F.count("*").alias("terms"), F.count("known").alias("matched"))
+    return docs.select(F.col("id").alias("query_id"), "lang").join(g, "query_id").withColumn("every_term", F.col("terms") == F.col("matched"))
+
+
+@query()
+def rrf_corpus(spark, d):
+    """The corpus ranked by cosine and by BM25, fused by reciprocal ranks."""
+    return _corpus_fused(spark, d)[2].where("rank <= 10").select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query()
+def method_compare_corpus(spark, d):
+    """The three best of each method over the corpus side by side."""
+    out = None
+    for name, x in zip(("dense", "bm25", "rrf"), _corpus_fused(spark, d), strict=True):
+        x = x.where("rank <= 3").select(F.lit(name).alias("method"), "query_id", "doc_id")
+        out = x if out is None else out.union(x)
+    return out
+
+
 @query(ctes(blocks(), "g as (select *, lower(trim(\"text\")) k, round(confidence * area, 9) s from blocks where confidence >= 0.30::double)") + "select scan_id, k \"key\", frame, pos, round(confidence, 4) confidence, round(area, 4) area, count(*) over (partition by scan_id, k) seen from g qualify row_number() over (partition by scan_id, k order by s desc, frame, pos) = 1")
 def best_readings(spark, d):
     """The best reading of each text over a scan's frames."""
