@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import lexical as L
 from ..operators import scan as C
-from ..operators.knn import knn
+from ..operators.knn import knn, ranked
 from ..operators.metrics import r4
 from ..sources import fixtures as X
 from .oracle import CORPUS, blocks, ctes, knn as oknn, query
@@ -228,3 +228,12 @@ def sparse_dot(spark, d):
     z = q.join(e.withColumnRenamed("id", "doc_id"), ["concept", "term"]).where("query_id <> doc_id").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qw") * F.col("w")), 9).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
     return z.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 3").select("query_id", "doc_id", r4(F.col("score")).alias("score"), "rank")
+
+
+@query()
+def sparse_dot_all(spark, d):
+    """Sparse vectors (the positive ones of eight weights) against all others, whatever the concept; no SQL."""
+    e = X.vectors(spark, d).select("id", F.posexplode(F.slice("vec", 1, 8)).alias("term", "w")).where("w > 0")
+    z = e.select(F.col("id").alias("query_id"), "term", F.col("w").alias("qw")).join(e.withColumnRenamed("id", "doc_id"), "term").where("query_id <> doc_id")
+    z = z.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qw") * F.col("w")), 9).alias("score"))
+    return ranked(z, 3, ("query_id",)).select("query_id", "doc_id", r4(F.col("score")).alias("score"), F.col("rank").cast("long").alias("rank"))

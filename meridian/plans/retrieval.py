@@ -487,3 +487,19 @@ def maxsim(spark, d):
     w = Window.partitionBy("query_id")
     n = z.withColumns({"lo": F.min("score").over(w), "hi": F.max("score").over(w), "rank": F.row_number().over(w.orderBy(F.col("score").desc(), "doc_id")).cast("long")})
     return n.where("rank <= 5").select("query_id", "doc_id", "rank", r4(F.col("score")).alias("score"), r4((F.col("score") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-9))).alias("minmax"))
+
+
+PREFETCH = 50
+
+
+@query()
+def maxsim_prefetch(spark, d):
+    """Late interaction over the dense prefetch list of all documents, whatever their label, and its min-max form in that list; no SQL."""
+    e = X.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
+    pairs = knn(e, e, PREFETCH).select("query_id", "doc_id")
+    t = e.select("id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("g"), "vec").select("id", "g", F.slice("vec", F.col("g") * 8 + 1, F.lit(8)).alias("x"))
+    s = pairs.join(t.select(F.col("id").alias("query_id"), "g", F.col("x").alias("qx")), "query_id").join(t.select(F.col("id").alias("doc_id"), F.col("x").alias("dx")), "doc_id")
+    z = s.groupBy("query_id", "doc_id", "g").agg(F.max(V.dot("qx", "dx")).alias("b")).groupBy("query_id", "doc_id").agg(F.round(F.sum("b"), 9).alias("score"))
+    w = Window.partitionBy("query_id")
+    n = ranked(z.withColumns({"lo": F.min("score").over(w), "hi": F.max("score").over(w)}), 5, ("query_id",))
+    return n.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), r4(F.col("score")).alias("score"), r4((F.col("score") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-9))).alias("minmax"))

@@ -47,3 +47,42 @@ def test_fusion_over_documents(spark, corpus):
     assert {r.query_id for r in run(spark, "rrf_corpus")} == set(corpus)
     got = collections.Counter((r.method, r.query_id) for r in run(spark, "method_compare_corpus"))
     assert all(got["dense", i] == got["rrf", i] == 3 for i in corpus) and {m for m, _ in got} == {"dense", "bm25", "rrf"}
+
+
+@pytest.fixture(scope="module")
+def vectors():
+    e = pq.read_table(f"{SF}/embeddings.parquet").to_pylist()
+    return np.array([r["vec_id"] for r in e]), np.array([r["embedding"] for r in e], dtype=np.float64), {r["vec_id"]: r["label"] for r in e}
+
+
+def test_maxsim_whatever_the_label(spark, vectors):
+    ids, v, label = vectors
+    at = {k: i for i, k in enumerate(ids.tolist())}
+    got = run(spark, "maxsim_prefetch")
+    assert len(got) == 5 * len(ids) and any(label[r.query_id] != label[r.doc_id] for r in got)
+    by = collections.defaultdict(dict)
+    for r in got:
+        by[r.query_id][r.rank] = (r.score, r.minmax)
+    cos = np.round(v @ v.T, 9)
+    np.fill_diagonal(cos, -np.inf)
+    for q in ids.tolist():
+        near = np.lexsort((ids, -cos[at[q]]))[:50]
+        x, y = v[at[q]].reshape(8, 8), v[near].reshape(50, 8, 8)
+        s = np.sort(np.einsum("ak,nbk->nab", x, y).max(2).sum(1))[::-1]
+        assert [by[q][k][0] for k in range(1, 6)] == pytest.approx(s[:5], abs=1e-4)
+        assert [by[q][k][1] for k in range(1, 6)] == pytest.approx((s[:5] - s[-1]) / (s[0] - s[-1]), abs=1e-4)
+
+
+def test_sparse_dot_whatever_the_concept(spark, vectors, corpus):
+    ids, v, label = vectors
+    keep = [i for i, k in enumerate(ids.tolist()) if k in corpus]
+    p = np.maximum(v[keep][:, :8], 0)
+    s = p @ p.T
+    np.fill_diagonal(s, 0)
+    got = collections.defaultdict(list)
+    for r in sorted(run(spark, "sparse_dot_all"), key=lambda r: r["rank"]):
+        got[r.query_id].append((r.score, label[r.doc_id] != label[r.query_id]))
+    for i, q in enumerate(ids[keep].tolist()):
+        best = np.sort(s[i][s[i] > 0])[::-1][:3]
+        assert [x for x, _ in got[q]] == pytest.approx(best, abs=1e-4)
+    assert any(other for x in got.values() for _, other in x)
