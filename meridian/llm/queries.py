@@ -57,7 +57,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), modulus=5)
     out = toxicity.score(docs, model)
-    return out.select("doc_id", (train_rows("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"))
+    return out.select("doc_id", (train_rows("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"), "evidence_ids", "evidence_labels", "evidence_sims")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

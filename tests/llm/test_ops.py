@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from meridian.llm import byte_bpe, decontaminate, gru_lm, html_text, jaccard_join, quality, sharding, toxicity, unigram, url_filter
 
@@ -260,19 +261,81 @@ def test_toxicity(spark):
     held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0]
     assert sum((got[i].score >= 0.5) == (i % 4 == 0) for i in held) / len(held) > 0.95
     assert got[1000].score == got[1001].score < 0.5 and all(0 <= r.score <= 1 for r in got.values())
-    # the index is exact
-    voc_, idf, index, _ = model
-    dense = np.zeros((index.n, len(idf)))
-    for t in range(len(idf)):
-        a, b = index.start[t], index.start[t + 1]
-        dense[index.doc[a:b], t] = index.weight[a:b]
-    for r in rng.sample(range(index.n), 10):
-        terms = np.flatnonzero(dense[r])
-        _, sim = index.nearest(terms, dense[r][terms], 15)
-        best = np.sort(dense @ dense[r])[::-1][:15]
-        assert np.allclose(sim, best[best > 1e-12][: len(sim)])
+    # plain Python over the whole vocabulary: weights, exact nearest examples, votes and the curve
+    bag = {i: collections.Counter(x for w in WORD.findall(t) if (x := w.lower().strip("."))) for i, t, *_ in rows}
+    ids = [int(x) for x in model.ids]
+    assert sorted(ids) == [i for i in range(400) if i not in held]
+    y = {i: int(i % 4 == 0) for i in ids}
+    n1, n0 = sum(y.values()), len(y) - sum(y.values())
+    pos, neg = (collections.Counter(w for i in ids if y[i] == c for w in bag[i]) for c in (1, 0))
+
+    def weight(w):
+        f = lambda x: x * math.log(x) if x else 0.0
+        a, b, n = pos[w], neg[w], n1 + n0
+        g = 2 * (f(a) + f(b) + f(n1 - a) + f(n0 - b) - f(a + b) - f(n - a - b) - f(n1) - f(n0) + f(n))
+        return (math.log((n + 1) / (a + b + 1)) + 1) * (toxicity.FLOOR + (1 - toxicity.FLOOR) * max(g, 0) / (max(g, 0) + toxicity.HALF))
+
+    factor = {w: weight(w) for w in {*pos, *neg}}
+
+    def unit(c):
+        v = {w: (1 + math.log(k)) * factor[w] for w, k in c.items() if w in factor}
+        n = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / n for w, x in v.items()}
+
+    index = {i: unit(bag[i]) for i in ids}
+    for i in rng.sample(range(400), 25):
+        q = unit(bag[i])
+        sims = sorted(((sum(x * v.get(w, 0.0) for w, x in q.items()), j) for j, v in index.items()), reverse=True)
+        want = [s for s, _ in sims[: toxicity.NEIGHBOURS] if s > 0]
+        assert np.allclose(got[i].evidence_sims, want, atol=1e-5)
+        assert got[i].evidence_labels == [y[int(j)] for j in got[i].evidence_ids]
+        vote = (sum(s * y[int(j)] for s, j in zip(got[i].evidence_sims, got[i].evidence_ids)) + toxicity.PRIOR * n1 / len(ids)) / (sum(want) + toxicity.PRIOR)
+        a, b = model.curve
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-(a * math.log(vote / (1 - vote)) + b))), abs=1e-3)
+    assert all(r.evidence_ids for r in got.values() if r.doc_id < 400)
     none = toxicity.fit(d, labels.limit(0))
-    assert all(r.score == pytest.approx(0.0, abs=0.02) for r in toxicity.score(d, none).collect())
+    assert all(r.score == 0.0 and r.evidence_ids == [] for r in toxicity.score(d, none).collect())
+
+
+def test_toxicity_index_is_exact():
+    """Block-max search against a dense product, with ties, and many blocks."""
+    rng = np.random.default_rng(3)
+    n, v = 3000, 500
+    doc = np.repeat(np.arange(n), 12)
+    term = np.minimum(rng.zipf(1.4, len(doc)) - 1, v - 1)
+    key = np.unique(doc * v + term)
+    doc, term = key // v, key % v
+    weight = rng.random(len(doc))
+    weight /= np.sqrt(np.bincount(doc, weight**2))[doc]
+    dense = np.zeros((n, v))
+    dense[doc, term] = weight
+    dense[n // 2 :] = dense[: n - n // 2]  # copies: ties
+    doc, term = np.nonzero(dense)
+    index = toxicity.Index(doc, term, dense[doc, term], n, v)
+    for _ in range(60):
+        t = np.unique(rng.integers(0, v, 10))
+        w = rng.random(len(t))
+        got, sims = index.nearest(t, w, 15)
+        want = np.round(dense[:, t].astype(np.float32) @ w, 6)
+        assert np.allclose(sims, np.sort(want)[::-1][: len(sims)], atol=1e-5) and len(sims) == min(15, (want > 0).sum())
+        assert np.allclose(want[got], sims, atol=1e-5)
+
+
+def test_toxicity_bounds_and_odd_labels(spark):
+    """Exact copies take the label; bounds hold; repeated ids, null labels, texts of 2 MB, clashing columns."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"z{rng.randrange(5000)}" for _ in range(30)), "", "", 0) for i in range(120)]
+    d = spark.createDataFrame([*rows, *rows[:10], (500, rows[7][1], "", "", 0), (501, "word " * 400_000, "", "", 0), (None, "null id", "", "", 0)], SCHEMA).withColumn("id", F.lit(1)).withColumn("rank", F.lit(2))
+    labels = spark.createDataFrame([(i, None, int(i in (7, 8))) for i in range(120)] + [(3, 1, None), (None, 1, 1), (9, 1, 0), (9, 1, 0), (501, 1, 0)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(d, labels, modulus=None)
+    assert len(model.ids) == 121
+    got = toxicity.score(d, model).collect()
+    assert len(got) == d.count()
+    assert next(r for r in got if r.doc_id == 500).evidence_sims[0] == pytest.approx(1.0) and next(r for r in got if r.doc_id == 500).evidence_ids[0] == "7"
+    assert len(toxicity.fit(d, labels, modulus=None, limit=50).ids) == 50
+    small = toxicity.fit(d, labels, modulus=None, postings=600)
+    assert len(small.index.doc) <= 600 and 0 < len(small.ids) < 30
+    assert toxicity.clean(d, model).columns == d.columns
 
 
 def test_sharding(spark, docs, texts):
