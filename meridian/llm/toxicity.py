@@ -37,10 +37,10 @@ from pyspark.sql import functions as F
 from .common import SLICE_BYTES, bounded_batches, coded, hashed, id_and_text, materialize, pack, ranges, slices, train_rows, unpack, words_of
 from .jaccard_join import shingles
 
-MAX_EXAMPLES = 10_000
-MAX_POSTINGS = 4_000_000
+MAX_EXAMPLES = 4_000
+MAX_POSTINGS = 2_000_000
 NEIGHBOURS = 15
-BLOCK = 64
+BLOCK = 128
 #: Relevance is FLOOR + (1 - FLOOR) G / (G + HALF).
 FLOOR, HALF = 0.02, 100.0
 #: Similarity that the examples' share of toxic labels counts for in a vote.
