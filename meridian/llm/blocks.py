@@ -23,16 +23,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import hashed, pack, release, shuffle_partitions, slices, unpack
+from .common import estimated_bytes, hashed, pack, release, shuffle_partitions, slices, unpack
 
 #: Bytes of text in a block: bounds the memory of a task.
 BLOCK_BYTES = 8 << 20
+#: Bytes of input for each bucket of words: bounds a bucket's words.
+BUCKET_BYTES = 64 << 20
 
 #: words (dictionary), code of each position, number of positions of each document
 Split = Callable[[pa.Array], tuple[pa.Array, np.ndarray, np.ndarray]]
 
 
-def _key(batch: pa.RecordBatch) -> int:
+def _key(batch: pa.RecordBatch, part: int) -> int:
+    """The block's name; its lowest bit is the part of the table that it is of."""
     h = xxhash.xxh3_64()
     text = pc.fill_null(batch.column("text"), "")
     lens = np.asarray(pc.binary_length(text), dtype=np.int32)
@@ -41,7 +44,7 @@ def _key(batch: pa.RecordBatch) -> int:
     offsets = np.frombuffer(text.buffers()[1], dtype=np.int32)[text.offset : text.offset + len(text) + 1]
     if len(text) and offsets[-1] > offsets[0]:
         h.update(memoryview(text.buffers()[2])[offsets[0] : offsets[-1]])
-    return h.intdigest() - (1 << 63)
+    return (h.intdigest() & ~1 | part) - (1 << 63)
 
 
 def _dictionary(batch: pa.RecordBatch, split: Split, buckets: int):
@@ -72,7 +75,7 @@ DICT = "bucket int, block long, start int, n int, lens binary, words binary, cou
 VALUES = "block long, start int, n int, lens binary, vals binary"
 
 
-def dictionaries(docs: DataFrame, split: Split, buckets: int, counted: str | None = None) -> DataFrame:
+def dictionaries(docs: DataFrame, split: Split, buckets: int, counted: str | None = None, part: int = 0) -> DataFrame:
     """Rows of DICT.  counted: a boolean column; counts then holds each word's positions in its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,14 +93,14 @@ def dictionaries(docs: DataFrame, split: Split, buckets: int, counted: str | Non
                     out[k].append(v)
             n = len(out["n"])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out["bucket"], pa.int32()), pa.array([_key(b)] * n, pa.int64()), pa.array(out["start"], pa.int32()), pa.array(out["n"], pa.int32()), pa.array(out["lens"], pa.binary()), pa.array(out["words"], pa.binary()), pa.array(out["counts"], pa.binary())],
+                [pa.array(out["bucket"], pa.int32()), pa.array([_key(b, part)] * n, pa.int64()), pa.array(out["start"], pa.int32()), pa.array(out["n"], pa.int32()), pa.array(out["lens"], pa.binary()), pa.array(out["words"], pa.binary()), pa.array(out["counts"], pa.binary())],
                 names=["bucket", "block", "start", "n", "lens", "words", "counts"],
             )
 
     return docs.mapInArrow(run, DICT)
 
 
-def positions(docs: DataFrame, split: Split, buckets: int) -> DataFrame:
+def positions(docs: DataFrame, split: Split, buckets: int, part: int = 0) -> DataFrame:
     """A row for each block: its documents, their numbers of positions, and the positions' words."""
     kept = [f for f in docs.schema.fields if f.name != "text"]
     schema = T.StructType([T.StructField("block", T.LongType()), *[T.StructField(f.name, T.ArrayType(f.dataType)) for f in kept], T.StructField("counts", T.BinaryType()), T.StructField("codes", T.BinaryType()), T.StructField("n_words", T.IntegerType())])
@@ -105,7 +108,7 @@ def positions(docs: DataFrame, split: Split, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", BLOCK_BYTES):
             words, _, codes, counts = _dictionary(b, split, buckets)
-            cols = [pa.array([_key(b)], pa.int64())]
+            cols = [pa.array([_key(b, part)], pa.int64())]
             for f in kept:
                 c = b.column(f.name)
                 cols.append(pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c))
@@ -115,12 +118,14 @@ def positions(docs: DataFrame, split: Split, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def reassemble(values: DataFrame, docs: DataFrame, split: Split, buckets: int, finish, schema) -> DataFrame:
-    """Bring each block's word values to its documents.
+def reassemble(values: DataFrame, docs: DataFrame | dict[int, DataFrame], split: Split, buckets: int, finish, schema) -> DataFrame:
+    """Bring each block's word values to its documents; docs: a table, or its parts by number.
 
     finish(lens, vals, counts, codes, columns): lens and vals are the block's word values in word
     order, columns holds the documents' other columns; it returns a pyarrow Table of schema.
     """
+    parts = docs if isinstance(docs, dict) else {0: docs}
+    docs = next(iter(parts.values()))
     names = [f.name for f in docs.schema.fields if f.name != "text"]
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
@@ -143,8 +148,13 @@ def reassemble(values: DataFrame, docs: DataFrame, split: Split, buckets: int, f
         release()
         return pa.concat_tables(out).cast(arrow) if out else arrow.empty_table()
 
-    return values.groupBy("block").cogroup(positions(docs, split, buckets).groupBy("block")).applyInArrow(join, schema)
+    rows = None
+    for part, d in parts.items():
+        more = positions(d, split, buckets, part)
+        rows = more if rows is None else rows.union(more)
+    return values.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(join, schema)
 
 
 def bucket_count(docs: DataFrame) -> int:
-    return shuffle_partitions(docs.sparkSession)
+    """Buckets by the input's size, so that one bucket's words fit in a task whatever the input."""
+    return max(shuffle_partitions(docs.sparkSession), -(-estimated_bytes(docs) // BUCKET_BYTES))

@@ -43,6 +43,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """What Spark's planner takes the rows' size for (files' sizes; no job); 0 where it can't tell."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 50 else 0
+
+
 def bounded_batches(df: DataFrame) -> DataFrame:
     """Arrow batches of at most BATCH_BYTES (the default is 64 MB), which bounds both sides of a Python task."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -393,15 +393,20 @@ def test_gru_adds_up_and_learns():
     assert gru_lm.log10_text(m, [k, k[:5]], [n, n[:5]], window=7) == pytest.approx(gru_lm.log10_text(m, [k, k[:5]], [n, n[:5]]), rel=1e-4)
 
 
-def test_gru_trains_on_every_document(spark, monkeypatch):
-    """No sample: all training tokens are trained on, in several tasks, and frequent words are the corpus's."""
-    monkeypatch.setattr(gru_lm, "TASK_TOKENS", 4_000)
+@pytest.mark.parametrize("share", [1, 6])
+def test_gru_trains_on_its_share(spark, monkeypatch, share):
+    """All tokens of the share are trained on, in several tasks, and counts and frequent words are the corpus's."""
+    monkeypatch.setattr(gru_lm, "TASK_TOKENS", 4_000 // share)
+    monkeypatch.setattr(gru_lm, "SHARE", share)
     rows = [(i, f"w{i % 7} only{i // 1000} and so on" + (" late" if i >= 2_400 else ""), "", "", 0) for i in range(2_800)] + [(None, "nullid word", "", "", 0)]
     seen: list = []
-    got = gru_lm.score(spark.createDataFrame(rows, SCHEMA).repartition(3), seen=seen).collect()
+    d = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = gru_lm.score(d, seen=seen).collect()
+    own = {r.doc_id for r in d.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).collect()}
     held = {i for i, *_ in rows if i is not None and zlib.crc32(str(i).encode()) % 10 == 0}
     c = collections.Counter(w for i, t, *_ in rows if i not in held for w in [*t.split(), "\n"])
-    assert seen[0].trained == seen[0].n == sum(c.values())
+    assert seen[0].n == sum(c.values())
+    assert seen[0].trained == sum(len(t.split()) + 1 for i, t, *_ in rows if i not in held and i in own) and (share > 1 or seen[0].trained == seen[0].n)
     assert {w.decode(): k for w, k in seen[0].top.items()} == {w: k for k, w in enumerate(sorted((w for w in c if c[w] >= 3), key=lambda w: (-c[w], w.encode())))}
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
@@ -422,6 +427,62 @@ def test_gradients():
         net.p[k][i] += 1e-6
 
 
+def test_gradients_through_time():
+    """Every weight's gradient over a window against differences of the log probability, in doubles."""
+    net = gru_lm.Network([3, 2], seed=1)
+    rng = np.random.default_rng(5)
+    net.p = {k: v.astype(np.float64) + rng.standard_normal(v.shape) * 0.1 for k, v in net.p.items()}
+    x = rng.integers(0, net.n_codes, (6, 3))
+    fresh = np.zeros((6, 3))
+    fresh[3, 1] = 1
+    h = rng.standard_normal((3, gru_lm.HIDDEN)) * 0.3
+
+    def value():
+        return net.logs(net.states(x, h, fresh).reshape(-1, gru_lm.HIDDEN), x.ravel()).sum()
+
+    g = net.gradients(x, x, fresh, h)
+    for k in ("Wx", "Wh", "E", "b", "C", "c", "W", "w"):
+        for _ in range(6):
+            i = (int(x[2, 0]), int(rng.integers(gru_lm.EMBED))) if k == "E" else tuple(rng.integers(0, n) for n in net.p[k].shape)
+            net.p[k][i] += 1e-6
+            up = value()
+            net.p[k][i] -= 2e-6
+            assert (up - value()) / 2e-6 == pytest.approx(g[k][i], rel=1e-4, abs=1e-5), k
+            net.p[k][i] += 1e-6
+
+
+def test_gru_score_by_hand(spark):
+    """score against a scalar walk through the network, word by word."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"h{min(int(rng.expovariate(0.2)), 40)}" for _ in range(rng.randrange(0, 60))), "", "", 0) for i in range(120)]
+    seen: list = []
+    got = {r.doc_id: r.score for r in gru_lm.score(spark.createDataFrame(rows, SCHEMA), seen=seen).collect()}
+    m, c = seen[0], collections.Counter(w for i, t, *_ in rows if zlib.crc32(str(i).encode()) % 10 for w in [*t.split(), "\n"])
+    p, H = m.network.p, gru_lm.HIDDEN
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    for i, t, *_ in rows[:40]:
+        h, total = np.zeros(H), 0.0
+        for w in [*t.split(), "\n"]:
+            k = m.code(w.encode(), c[w])
+            cls = m.network.class_of[k]
+            a = h @ p["C"] + p["c"]
+            total += a[cls] - np.log(np.exp(a).sum())
+            if k < len(m.top):
+                same = np.flatnonzero(m.network.class_of[: len(m.top)] == cls)
+                b = h @ p["W"][:, same] + p["w"][same]
+                total += b[list(same).index(k)] - np.log(np.exp(b).sum())
+            elif c[w] >= 2:
+                total += math.log(c[w] / m.tail[gru_lm.ending(w.encode())])
+            else:
+                total += math.log(m.once if c[w] else m.unknown)
+            x = p["E"][k] @ p["Wx"] + p["b"]
+            u = h @ p["Wh"]
+            z, r = sig(x[:H] + u[:H]), sig(x[H : 2 * H] + u[H : 2 * H])
+            n = np.tanh(x[2 * H :] + r * u[2 * H :])
+            h = n + z * (h - n)
+        assert got[i] == pytest.approx(total / math.log(10), rel=1e-4)
+
+
 def test_odd_tables(spark, docs, ranks):
     """Clashing columns, repeated rows, null ids, empty tables: one row out for each row in."""
     d, none = clash(docs), empty(spark)
