@@ -15,8 +15,8 @@ pair whose sizes allow it is compared exactly, in blocks of sets, so a family of
 small tasks and no pair ever becomes a row: a block pair returns a degree for each set and spanning
 links.  Final classes are the components of exact links.
 
-Null ids are kept and never drop a row; repeated rows belong to one class; an empty table gives an
-empty table.
+Null ids are kept and never drop a row; repeated rows belong to one class; columns of any name pass
+through; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, coded, hashed, id_and_text, materialize, mix, slices, words_of
+from .common import SLICE_BYTES, coded, discard, hashed, id_and_text, materialize, mix, slices, words_of
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -41,8 +41,8 @@ SMALL = 48
 RECALL = 0.999
 #: Sketch agreement below which a brute-forced pair isn't a candidate (6 deviations under 0.8).
 AGREE = 0.5
-#: Sets in a block of a family.
-BLOCK = 256
+#: Sets, and bytes of their shingles, in a block of a family, about.
+BLOCK, BLOCK_BYTES = 512, 8 << 20
 
 
 def runs_for(recall: float = RECALL, threshold: float = THRESHOLD, depth: int = DEPTH) -> int:
@@ -174,23 +174,31 @@ def spanning(near: np.ndarray) -> list[tuple[int, int]]:
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """node, root (the least node of its component) for every node of links (u, v).
 
-    Large-star and small-star steps in turn; each halves the distances, so a few rounds do.
+    Large-star and small-star steps in turn; each halves the distances, so a few rounds do.  The centre of
+    a large component has many edges: minima are aggregated before the shuffle and written first, so that
+    the join with the edges is plain and Spark's skew handling can split a centre's edges over tasks.
     """
+
+    def digest(t: DataFrame):
+        return tuple(t.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+
     edges = materialize(links.where(F.col("u") != F.col("v")).distinct(), name)
+    state = digest(edges)
     while True:
         # large star: larger neighbours of a node are hung on its least neighbour
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), name)
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        down = materialize(large.distinct(), name)
         # small star: a node's smaller neighbours are hung on the least of them
-        down = large.distinct()
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
+        low = materialize(down.groupBy("u").agg(F.min("v").alias("m")), name)
         small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v"))
         new = materialize(small.union(low.select("u", F.col("m").alias("v"))).distinct(), name)
-        if not new.join(edges, ["u", "v"], "left_anti").limit(1).count() and not edges.join(new, ["u", "v"], "left_anti").limit(1).count():
+        discard(edges, least, down, low)
+        edges, before, state = new, state, digest(new)
+        if state == before:
             roots = new.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
             return new.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
-        edges = new
 
 
 def families(classes: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -199,9 +207,10 @@ def families(classes: DataFrame, threshold: float = THRESHOLD, recall: float = R
     sk = classes.select("set_id", "sketch")
     runs = spark.range(runs_for(recall, threshold)).select(F.xxhash64("id").alias("path"))
     paths = sk.crossJoin(F.broadcast(runs))  # a fixed number of runs
-    found = None
+    found, steps = None, []
     for depth in range(1, DEPTH + 1):
         step = materialize(_extend(paths, threshold), "paths")
+        steps.append(step)
         size = step.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
         met = step.join(size, "path")
         members = met.where(F.col("n") <= SMALL).join(sk, "set_id").groupBy("path").agg(F.collect_list(F.struct("set_id", "sketch")).alias("members"))
@@ -212,7 +221,9 @@ def families(classes: DataFrame, threshold: float = THRESHOLD, recall: float = R
             new = new.union(large.join(hub, "path").select(F.col("set_id").alias("u"), "v"))
         found = new if found is None else found.union(new)
         paths = met.where(F.col("n") > SMALL).select("path", "set_id").join(sk, "set_id")
-    return components(found, "families")
+    out = components(found, "families")
+    discard(*steps)
+    return out
 
 
 def _compare(a_ids, a_sets, a_rows, b_ids, b_sets, b_rows, threshold: float, same: bool):
@@ -240,10 +251,10 @@ def _compare(a_ids, a_sets, a_rows, b_ids, b_sets, b_rows, threshold: float, sam
 
 def verified(classes: DataFrame, fam: DataFrame, docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
     """set_id, links (rows), classes (linked classes), u, v rows: degrees of sets and spanning links."""
-    member = classes.join(fam.withColumnRenamed("node", "set_id"), "set_id").select("set_id", "root", "n_rows", "doc_id", "text_hash")
-    per = member.groupBy("root").agg(F.count("*").alias("m"))
+    member = classes.join(fam.withColumnRenamed("node", "set_id"), "set_id").select("set_id", "root", "n_rows", "n_shingles", "doc_id", "text_hash")
+    per = materialize(member.groupBy("root").agg(F.count("*").alias("m"), F.sum(F.col("n_shingles").cast("long") * 8).alias("b")), "family-sizes")
     member = member.join(per, "root")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("b") / BLOCK_BYTES)).cast("int")
     member = member.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("set_id"), blocks).cast("int")})
     # one row of each class brings its text
     text = id_and_text(docs, id_col, text_col).withColumnRenamed("doc_id", "_id")
@@ -301,8 +312,8 @@ def _joined(docs: DataFrame, threshold: float, recall: float, id_col: str, text_
     """A row for each row of docs, with class_key: the component (null without words)."""
     all_sets = materialize(sets(docs, id_col, text_col), "sets")
     # the class of equal sets: one row each (its sketch is the same in every row)
-    classes = all_sets.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.count("*").alias("n_rows"), F.min(F.struct("doc_id", "text_hash")).alias("least"), F.first("sketch").alias("sketch"))
-    classes = materialize(classes.select("set_id", "n_rows", "least.doc_id", "least.text_hash", "sketch"), "classes")
+    classes = all_sets.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.count("*").alias("n_rows"), F.min(F.struct("doc_id", "text_hash")).alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    classes = materialize(classes.select("set_id", "n_rows", "n_shingles", "least.doc_id", "least.text_hash", "sketch"), "classes")
     fam = families(classes, threshold, recall)
     found = materialize(verified(classes, fam, docs, threshold, id_col, text_col), "links")
     degree = found.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.sum("links").alias("links"))
@@ -334,11 +345,12 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, recall: float = R
     found = materialize(_joined(docs, threshold, recall, id_col, text_col).select("doc_id", "text_hash", "class_key"), "joined-rows")
     first = found.where(F.col("class_key").isNotNull()).groupBy("class_key").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
     keep = first.select("k.*").union(found.where(F.col("class_key").isNull()).select("doc_id", "text_hash").distinct())
-    keep = keep.select(F.col("doc_id").alias("_k_id"), F.col("text_hash").alias("_k_text"))
-    at = docs.withColumn("_x_text", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    out = at.join(keep, at[id_col].eqNullSafe(keep["_k_id"]) & (at["_x_text"] == keep["_k_text"]), "left_semi")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    worded = F.btrim(text, F.lit(" \t\n\x0b\f\r")) != ""
+    # whole rows in one column, so that no name of theirs meets one of ours
+    at = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(id_col).alias("i"), F.xxhash64(text).alias("h"), worded.alias("worded"))
+    out = at.join(keep, at["i"].eqNullSafe(keep["doc_id"]) & (at["h"] == keep["text_hash"]), "left_semi")
     again = found.where(F.col("class_key").isNotNull()).groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1")
     if again.limit(1).count():  # the same row more than once
-        worded = F.btrim(F.coalesce(F.col(text_col), F.lit("")), F.lit(" \t\n\x0b\f\r")) != ""
-        out = out.where(worded).dropDuplicates([id_col, "_x_text"]).union(out.where(~worded))
-    return out.drop("_x_text")
+        out = out.where("worded").dropDuplicates(["i", "h"]).union(out.where("not worded"))
+    return out.select("row.*")

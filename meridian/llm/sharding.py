@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, free_name, materialize
 
 #: Bytes that a record has besides its text.
 OVERHEAD = 8
@@ -27,7 +27,7 @@ SAMPLE_PER_RANGE = 48
 ROUNDS = 3
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
         F.col(id_col).alias("doc_id"),
@@ -35,6 +35,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         F.crc32(text).cast("long").alias("text_crc32"),
         F.xxhash64(text).alias("k1"),
         F.xxhash64(F.col(id_col)).alias("k2"),
+        *more,
     )
 
 
@@ -101,40 +102,45 @@ def _lookup(values: list[int], at: Column) -> Column:
     return F.get(_longs(values), at)
 
 
-def assign(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard; the law is ``bytes``."""
-    meta = materialize(keyed(docs, id_col, text_col), "shard-keys")
-    found, each = splitters(meta, n_shards * RANGES_PER_SHARD)
+def _placed(rows: DataFrame, found: list[tuple[int, int]], each: list, n_shards: int) -> DataFrame:
+    """Adds shard and place (the position among all rows); rows: k1, k2, size, text_crc32 and others."""
     n = len(found) + 1
-    size, rows = [0] * n, [0] * n
+    size, count = [0] * n, [0] * n
     for r in each:
-        size[r["range"]], rows[r["range"]] = r["bytes"], r["rows"]
+        size[r["range"]], count[r["range"]] = r["bytes"], r["rows"]
     total = sum(size)
     bytes_before = [sum(size[:i]) for i in range(n)]
-    rows_before = [sum(rows[:i]) for i in range(n)]
+    rows_before = [sum(count[:i]) for i in range(n)]
     w = Window.partitionBy("range").orderBy("k1", "k2", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = meta.withColumn("range", range_of(found))
+    rows = rows.withColumn("range", range_of(found))
     middle = _lookup(bytes_before, F.col("range")) + F.sum("size").over(w) - F.col("size") / 2
-    placed = placed.select(
-        "doc_id", "size", "text_crc32",
-        F.least(F.lit(n_shards - 1), F.floor(middle * n_shards / max(total, 1))).cast("int").alias("shard"),
-        (_lookup(rows_before, F.col("range")) + F.row_number().over(w) - 1).cast("long").alias("place"),
-    )
-    placed = materialize(placed, "shard-places")
+    return rows.withColumns({
+        "shard": F.least(F.lit(n_shards - 1), F.floor(middle * n_shards / max(total, 1))).cast("int"),
+        "place": (_lookup(rows_before, F.col("range")) + F.row_number().over(w) - 1).cast("long"),
+    })
+
+
+def assign(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard; the law is ``bytes``."""
+    meta = materialize(keyed(docs, id_col, text_col), "shard-keys")
+    found, each = splitters(meta, n_shards * RANGES_PER_SHARD)
+    placed = materialize(_placed(meta, found, each, n_shards).select("doc_id", "size", "text_crc32", "shard", "place"), "shard-places")
+    discard(meta)
     first = {r["shard"]: r["first"] for r in placed.groupBy("shard").agg(F.min("place").alias("first")).collect()}
     start = _lookup([first.get(i, 0) for i in range(n_shards)], F.col("shard"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("place") - start).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
-def write_shards(docs: DataFrame, path: str, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write whole records into one folder for each shard, range by range (a shard is many tasks and files)."""
+def write_shards(docs: DataFrame, path: str, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> str:
+    """Write whole records into one folder for each shard, by the law of ``assign``; returns the folders' column.
+
+    The column is ``shard``, with underscores behind it if docs has such a column; docs' own columns are all
+    kept.  Every range is a task, so a shard is several tasks and files.
+    """
     meta = materialize(keyed(docs, id_col, text_col), "shard-keys")
     found, each = splitters(meta, n_shards * RANGES_PER_SHARD)
-    total, run, shard = sum(r["bytes"] for r in each), 0, [0] * (len(found) + 1)
-    for r in each:
-        shard[r["range"]] = min(n_shards - 1, int((run + r["bytes"] / 2) * n_shards // max(total, 1)))
-        run += r["bytes"]
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.withColumns({"k1": F.xxhash64(text), "k2": F.xxhash64(F.col(id_col))})
-    out = out.withColumn("_range", range_of(found)).withColumn("shard", _lookup(shard, F.col("_range")).cast("int"))
-    out.repartition(len(found) + 1, "_range").drop("k1", "k2", "_range").write.partitionBy("shard").parquet(path)
+    discard(meta)
+    rows = keyed(docs, id_col, text_col, F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    name = free_name("shard", docs.columns)
+    _placed(rows, found, each, n_shards).select("row.*", F.col("shard").alias(name)).write.partitionBy(name).parquet(path)
+    return name

@@ -48,7 +48,7 @@ def ranks():
 
 def clash(docs):
     """Columns with the names that operators use inside, a null id, and repeated rows."""
-    d = docs.selectExpr("*", "1 as block", "2 as words", "3 as counts", "4 as shard", "5 as set_id", "6 as path", "7 as rank", "8 as _text", "9 as train")
+    d = docs.selectExpr("*", "1 as block", "2 as words", "3 as counts", "4 as shard", "5 as set_id", "6 as path", "7 as rank", "8 as _text", "9 as train", "10 as _x_text", "11 as row", "12 as i", "13 as h", "14 as worded", "15 as _k_id")
     return d.union(d.where("doc_id in (0, 5)")).union(d.where("doc_id = 7").withColumn("doc_id", d.doc_id * None))
 
 
@@ -354,6 +354,62 @@ def test_sharding(spark, docs, texts):
     assert sharding.assign(empty(spark), 6).count() == 0
 
 
+def test_shards_are_written_as_assigned(spark, docs, tmp_path):
+    """Folders equal op9's shard, rows are whole, and columns named like ours survive."""
+    d = docs.union(spark.createDataFrame([(i, "hot text " * 5, "", "", 0) for i in range(500, 800)], SCHEMA)).union(docs.where("doc_id < 3"))
+    d = d.selectExpr("*", "doc_id * 10 as shard", "'x' as k1", "2 as k2", "3 as range", "4 as size", "5 as place", "6 as row")
+    name = sharding.write_shards(d, str(tmp_path / "out"), 6)
+    assert name == "shard_"
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(back.columns) == sorted([*d.columns, name])
+    want = collections.Counter((r.doc_id, r.text_crc32, r.shard) for r in sharding.assign(d, 6).collect())
+    assert collections.Counter((r.doc_id, zlib.crc32((r.text or "").encode()), r[name]) for r in back.collect()) == want
+    assert all(r.shard == r.doc_id * 10 and r.k1 == "x" and r.k2 == 2 for r in back.collect())
+
+
+def test_jaccard_recall_near_the_threshold(spark):
+    """Measured recall of pairs with a similarity of 0.80 to 0.85 against brute force."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(1200):
+        w = [f"r{i}_{j}" for j in range(rng.randrange(60, 200))]
+        v = list(w)
+        for _ in range(rng.randrange(1, 5)):
+            v[rng.randrange(len(v))] = f"s{i}"
+        rows += [" ".join(w), " ".join(v)]
+    t = dict(enumerate(rows))
+    def grams(x):
+        return {tuple(x[i : i + 5]) for i in range(len(x) - 4)}
+
+    near = []
+    for k in range(0, len(rows), 2):
+        a, b = grams(rows[k].split()), grams(rows[k + 1].split())
+        if 0.80 <= len(a & b) / len(a | b) <= 0.85:
+            near.append(k)
+    got = {r.doc_id: r.class_id for r in jaccard_join.join(spark.createDataFrame([(k, x, "", "", 0) for k, x in t.items()], SCHEMA)).collect()}
+    found = sum(got[k] == got[k + 1] for k in near)
+    print(f"pairs of 0.80 to 0.85: {found} of {len(near)}")
+    assert len(near) > 150 and found >= 0.99 * len(near)
+
+
+def test_jaccard_family_of_many_blocks(spark, monkeypatch):
+    """One family over more than 20 blocks, and blocks cut by bytes."""
+    rng = random.Random(2)
+    base = [f"t{i}" for i in range(150)]
+    rows = []
+    for i in range(340):
+        w = list(base)
+        w[rng.randrange(150)] = f"u{i}"
+        rows.append(" ".join(w))
+    t = dict(enumerate(rows))
+    link, cls = brute_links(t)
+    d = spark.createDataFrame([(k, x, "", "", 0) for k, x in t.items()], SCHEMA)
+    for sets, size in ((16, 1 << 30), (10**6, 16 * 150 * 8)):
+        monkeypatch.setattr(jaccard_join, "BLOCK", sets)
+        monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", size)
+        assert {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.join(d).collect()} == {k: (cls[k], len(link[k])) for k in t}
+
+
 def test_gru(spark, docs, texts):
     got = {r.doc_id: r for r in gru_lm.score(docs).collect()}
     tok = {k: [w.translate({c: c + 32 for c in range(65, 91)}) for w in WORD.findall(t or "")] + ["\n"] for k, t in texts.items()}
@@ -499,6 +555,34 @@ def test_odd_tables(spark, docs, ranks):
     assert len([i for i in one if i == 5]) == 1  # a repeated row stays once
 
 
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Null ids, repeated rows, clashing columns, a text of 1 MB, and an empty table through run()."""
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    long = " ".join(f"q{rng.randrange(10**6)}" for _ in range(130_000))
+    more = spark.createDataFrame([(None, " ".join(f"n{rng.randrange(9999)}" for _ in range(50)), "en", "s", 1), (None, None, None, None, None), (9_000_001, long, "en", "s", 1)], docs.schema)
+    odd = docs.union(docs.where("doc_id < 5")).union(more)
+    odd = odd.selectExpr("*", *[f"doc_id * {k + 1} as {c}" for k, c in enumerate("_x_text row i h worded _k_id k1 shard block train score toxic rank set_id".split())])
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    at = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, at, str(tmp_path))
+        assert out.columns == odd.columns and out.where("not (_x_text <=> doc_id and row <=> doc_id * 2 and shard <=> doc_id * 8)").count() == 0, name
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    ids = [r.doc_id for r in out.select("doc_id").collect()]
+    assert 9_000_001 in ids and ids.count(None) == 1 and len(ids) == len(set(ids))
+    none = tmp_path / "none"
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(str(none / f"{name}.parquet"))
+    docs.limit(0).write.parquet(str(none / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(none)).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
