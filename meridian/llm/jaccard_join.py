@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, coded, discard, hashed, id_and_text, materialize, mix, slices, words_of
+from .common import SLICE_BYTES, coded, discard, hashed, id_and_text, materialize, mix, pack, slices, unpack, words_of
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -226,31 +226,61 @@ def families(classes: DataFrame, threshold: float = THRESHOLD, recall: float = R
     return out
 
 
-def _compare(a_ids, a_sets, a_rows, b_ids, b_sets, b_rows, threshold: float, same: bool):
-    """Exact links between two blocks of sets: degrees (rows and classes) and spanning edges."""
-    na, nb = np.array([len(x) for x in a_sets]), np.array([len(x) for x in b_sets])
-    tokens, inverse, seen = np.unique(np.concatenate([*a_sets, *([] if same else b_sets)]), return_inverse=True, return_counts=True)
+def near_sets(a: list[np.ndarray], b: list[np.ndarray] | None, threshold: float) -> np.ndarray:
+    """Which sets of a are at or above the threshold with which of b (None: a itself, but not with itself)."""
+    both = [*a, *(b or [])]
+    sizes = np.array([len(x) for x in both], dtype=np.int64)
+    tokens, inverse, seen = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
     shared = seen > 1
     place = np.cumsum(shared) - 1
     width = int(shared.sum())
-    sizes = np.concatenate([na, [] if same else nb]).astype(np.int64)
-    row = np.repeat(np.arange(len(sizes)), sizes)
     keep = shared[inverse]
-    row, col = row[keep], place[inverse][keep]
+    row, col = np.repeat(np.arange(len(both)), sizes)[keep], place[inverse][keep]
+    by = np.argsort(col, kind="stable")
+    row, col = row[by], col[by]
+    na, nb = sizes[: len(a)], sizes[len(a) :] if b is not None else sizes
     inter = np.zeros((len(na), len(nb)), dtype=np.float32)
-    for lo in range(0, width, 4096):  # a strip of tokens at a time bounds the memory
-        use = (col >= lo) & (col < lo + 4096)
-        m = np.zeros((len(sizes), min(4096, width - lo)), dtype=np.float32)
-        m[row[use], col[use] - lo] = 1
-        inter += m[: len(na)] @ (m.T if same else m[len(na) :].T)
+    for lo in range(0, width, 2048):  # a strip of tokens at a time bounds the memory
+        i, j = np.searchsorted(col, (lo, lo + 2048))
+        m = np.zeros((len(both), min(2048, width - lo)), dtype=np.float32)
+        m[row[i:j], col[i:j] - lo] = 1
+        inter += m[: len(a)] @ (m.T if b is None else m[len(a) :].T)
     near = inter >= threshold * (na[:, None] + nb[None, :] - inter) - 1e-4
-    if same:
+    if b is None:
         np.fill_diagonal(near, False)
     return near
 
 
+BLOCK_ROW = "root binary, block int, blocks int, ids binary, n_rows binary, sizes binary, tokens binary"
+LINK_ROW = "set_id binary, links long, classes long, u binary, v binary"
+
+
+def _links_of(rows: list[tuple]) -> pa.Table:
+    cols = list(zip(*rows, strict=True)) if rows else [()] * 5
+    return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["set_id", "links", "classes", "u", "v"])
+
+
+def _found(near: np.ndarray, a: list[bytes], rows_a: np.ndarray, b: list[bytes] | None, rows_b: np.ndarray) -> list[tuple]:
+    """LINK_ROW rows: degrees of sets, and spanning links."""
+    out = []
+    sides = [(a, near @ rows_b, near.sum(1))] + ([(b, near.T @ rows_a, near.sum(0))] if b is not None else [])
+    for ids, links, classes in sides:
+        out += [(s, x, y, None, None) for s, x, y in zip(ids, links.tolist(), classes.tolist(), strict=True) if y]
+    if b is None:
+        return out + [(None, None, None, a[x], a[y]) for x, y in spanning(near)]
+    whole = np.zeros((len(a) + len(b),) * 2, dtype=bool)
+    whole[: len(a), len(a) :] = near
+    whole |= whole.T
+    names = a + b
+    return out + [(None, None, None, names[x], names[y]) for x, y in spanning(whole)]
+
+
 def verified(classes: DataFrame, fam: DataFrame, docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
-    """set_id, links (rows), classes (linked classes), u, v rows: degrees of sets and spanning links."""
+    """set_id, links (rows), classes (linked classes), u, v rows: degrees of sets and spanning links.
+
+    A set is shuffled once, to its block, which is compared with itself there; only blocks of larger families
+    go on, one row each, to meet the family's other blocks.
+    """
     member = classes.join(fam.withColumnRenamed("node", "set_id"), "set_id").select("set_id", "root", "n_rows", "n_shingles", "doc_id", "text_hash")
     per = materialize(member.groupBy("root").agg(F.count("*").alias("m"), F.sum(F.col("n_shingles").cast("long") * 8).alias("b")), "family-sizes")
     member = member.join(per, "root")
@@ -259,8 +289,6 @@ def verified(classes: DataFrame, fam: DataFrame, docs: DataFrame, threshold: flo
     # one row of each class brings its text
     text = id_and_text(docs, id_col, text_col).withColumnRenamed("doc_id", "_id")
     rows = member.join(text, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("text") == F.col("text_hash")))
-    # each set goes to every pair of blocks that its block is in
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", SLICE_BYTES):
@@ -270,42 +298,42 @@ def verified(classes: DataFrame, fam: DataFrame, docs: DataFrame, threshold: flo
             yield pa.RecordBatch.from_arrays([b.column("set_id"), b.column("root"), b.column("block"), b.column("blocks"), b.column("n_rows"), pa.array(raw, pa.binary())], names=["set_id", "root", "block", "blocks", "n_rows", "tokens"])
 
     loaded = rows.select("set_id", "root", "block", "blocks", "n_rows", "text").mapInArrow(load, "set_id binary, root binary, block int, blocks int, n_rows long, tokens binary")
-    dealt = loaded.withColumn("p", F.explode(pair)).select("root", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "block", "set_id", "n_rows", "tokens")
 
-    def join(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        d = {k: t.column(k).to_pylist() for k in ("set_id", "block", "n_rows", "tokens")}
+    def inside(t: pa.Table) -> pa.Table:
+        d = {k: t.column(k).to_pylist() for k in ("set_id", "n_rows", "tokens")}
         got = {s: k for k, s in enumerate(d["set_id"])}  # repeated rows of one class count once
-        keep = sorted(got.values(), key=lambda k: d["set_id"][k])
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        side = [[k for k in keep if d["block"][k] == x] for x in (i, j)]
-        arrays = [[np.frombuffer(d["tokens"][k], np.uint64) for k in s] for s in side]
-        rows = [np.array([d["n_rows"][k] for k in s], dtype=np.int64) for s in side]
-        out = {"set_id": [], "links": [], "classes": [], "u": [], "v": []}
-
-        def add(**x):
-            for k in out:
-                out[k].append(x.get(k))
-
-        if side[0] and side[1]:
-            a, b = side
-            near = _compare(a, arrays[0], rows[0], b, arrays[1], rows[1], threshold, i == j)
-            for s, links, classes in [(a, near @ rows[1], near.sum(1)), *([] if i == j else [(b, near.T @ rows[0], near.sum(0))])]:
-                for k, x, y in zip(s, links.tolist(), classes.tolist(), strict=True):
-                    if y:
-                        add(set_id=d["set_id"][k], links=x, classes=y)
-            if i == j:
-                edges = [(a[x], a[y]) for x, y in spanning(near)]
-            else:
-                whole = np.zeros((len(a) + len(b),) * 2, dtype=bool)
-                whole[: len(a), len(a) :] = near
-                whole |= whole.T
-                edges = [((a + b)[x], (a + b)[y]) for x, y in spanning(whole)]
-            for x, y in edges:
-                add(u=d["set_id"][x], v=d["set_id"][y])
-        return pa.table({"set_id": pa.array(out["set_id"], pa.binary()), "links": pa.array(out["links"], pa.int64()), "classes": pa.array(out["classes"], pa.int64()), "u": pa.array(out["u"], pa.binary()), "v": pa.array(out["v"], pa.binary())})
-
-    return dealt.groupBy("root", "i", "j").applyInArrow(join, "set_id binary, links long, classes long, u binary, v binary")
+        ids = sorted(got)
+        sets = [np.frombuffer(d["tokens"][got[s]], np.uint64) for s in ids]
+        n_rows = np.array([d["n_rows"][got[s]] for s in ids], dtype=np.int64)
+        out = _links_of(_found(near_sets(sets, None, threshold), ids, n_rows, None, n_rows))
+        packed = pa.nulls(out.num_rows, pa.binary())
+        cols = {"root": packed, "block": pa.nulls(out.num_rows, pa.int32()), "blocks": pa.nulls(out.num_rows, pa.int32()), "ids": packed, "n_rows": packed, "sizes": packed, "tokens": packed}
+        if (n := t.column("blocks")[0].as_py()) > 1:
+            row = {"root": t.column("root")[0].as_py(), "block": t.column("block")[0].as_py(), "blocks": n, "ids": b"".join(ids), "n_rows": n_rows.tobytes(), "sizes": np.array([len(x) for x in sets], dtype=np.int64).tobytes(), "tokens": pack(np.concatenate(sets))}
+            out = pa.concat_tables([out, _links_of([(None,) * 5])])
+            cols = {k: pa.concat_arrays([v, pa.array([row[k]], v.type)]) for k, v in cols.items()}
+        for k, v in cols.items():
+            out = out.append_column(k, v)
+        return out
+
+    own = materialize(loaded.groupBy("root", "block").applyInArrow(inside, f"{LINK_ROW}, {BLOCK_ROW}"), "blocks")
+    names = ["set_id", "links", "classes", "u", "v"]
+    # each block meets every other block of its family
+    b = own.where(F.col("root").isNotNull())
+    pair = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != F.col("block")), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
+    dealt = b.withColumn("p", F.explode(pair)).select("root", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "block", "ids", "n_rows", "sizes", "tokens")
+
+    def across(t: pa.Table) -> pa.Table:
+        sides = []
+        for r in sorted(t.select(["block", "ids", "n_rows", "sizes", "tokens"]).to_pylist(), key=lambda r: r["block"]):
+            sizes, tokens = np.frombuffer(r["sizes"], np.int64), unpack(r["tokens"], np.uint64)
+            sides.append(([r["ids"][k : k + 16] for k in range(0, len(r["ids"]), 16)], np.frombuffer(r["n_rows"], np.int64), np.split(tokens, np.cumsum(sizes)[:-1])))
+        if len(sides) < 2:  # the other block is empty
+            return _links_of([])
+        (a, rows_a, sets_a), (c, rows_c, sets_c) = sides
+        return _links_of(_found(near_sets(sets_a, sets_c, threshold), a, rows_a, c, rows_c))
+
+    return own.where(F.col("root").isNull()).select(*names).union(dealt.groupBy("root", "i", "j").applyInArrow(across, LINK_ROW))
 
 
 def _joined(docs: DataFrame, threshold: float, recall: float, id_col: str, text_col: str) -> DataFrame:
