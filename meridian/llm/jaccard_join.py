@@ -347,8 +347,9 @@ def _joined(docs: DataFrame, threshold: float, recall: float, id_col: str, text_
     degree = found.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.sum("links").alias("links"))
     comp = components(found.where(F.col("u").isNotNull()).select("u", "v"), "joined").withColumnRenamed("node", "set_id")
     about = classes.select("set_id", "doc_id", "n_rows").join(comp, "set_id", "left").join(degree, "set_id", "left")
-    about = about.withColumn("class_key", F.coalesce("root", "set_id"))
-    least = about.groupBy("class_key").agg(F.min("doc_id").alias("class_id"))
+    # written before they meet: a plain join, so a large class can be split over tasks
+    about = materialize(about.withColumn("class_key", F.coalesce("root", "set_id")), "class-sets")
+    least = materialize(about.groupBy("class_key").agg(F.min("doc_id").alias("class_id")), "class-ids")
     about = about.select("set_id", "class_key", "n_rows", F.coalesce("links", F.lit(0)).alias("links")).join(least, "class_key")
     return all_sets.drop("sketch").join(about, "set_id", "left")
 
