@@ -2,9 +2,10 @@
 
 ``knn`` ranks documents for every query inside equal ``part`` values (a part is a configuration of a
 sweep, a language filter, or both), so filters hold before ranking.  Blocks of queries meet blocks of
-documents in an Arrow kernel (one matrix product), which keeps the k best of its block; a ranking
-window merges the blocks' winners, which is exact because top-k decomposes.  Queries are broadcast
-only after a check of their size; beyond it both sides are cut into blocks that meet in groups.
+documents in an Arrow kernel (one matrix product); a task keeps a running list of the k best of each
+query over all its batches, so what is shuffled doesn't grow with the batches; a ranking window merges
+the tasks' lists, which is exact because top-k decomposes.  Queries are broadcast only after a check of
+their size; beyond it both sides are cut into blocks that meet in groups.
 """
 
 from __future__ import annotations
@@ -12,70 +13,153 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Numbers (rows times dimensions) up to which queries are broadcast.
 BROADCAST_NUMBERS = 4_000_000
-BLOCK = 2_048
+#: Rows of a block when both sides are cut; queries and documents that meet at a time in a kernel.
+BLOCK, QUERIES, DOCS = 2_048, 512, 2_048
+#: Up to so many hits of a query a task keeps a running list; a longer list goes out batch by batch.
+RUNNING = 1_024
 HITS = "part string, query_id long, doc_id long, score double"
+_ARROW = pa.schema([("part", pa.string()), ("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
+
+
+def _squares(q: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Squared distances by differences, not the Gram form: no cancellation."""
+    out = np.empty((len(q), len(d)))
+    step = max(1, 2_000_000 // max(d.size, 1))  # bounds the array of differences to 16 MB
+    for i in range(0, len(q), step):
+        diff = q[i : i + step, None, :] - d[None, :, :]
+        out[i : i + step] = np.einsum("ijk,ijk->ij", diff, diff)
+    return out
 
 
 def scores(metric: str, q: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Higher is nearer."""
+    """Higher is nearer; "maxsim:8" takes rows as tokens of 8 numbers, "-maxsim:8" turns the order round."""
     if metric == "cosine":
         return q @ d.T
-    sq = np.empty((len(q), len(d)))
-    for i in range(0, len(q), 256):  # differences, not the Gram form: no cancellation
-        sq[i : i + 256] = ((q[i : i + 256, None, :] - d[None, :, :]) ** 2).sum(-1) if d.size else 0
+    if metric == "angular":
+        return -np.arccos(np.clip(q @ d.T, -1.0, 1.0))
     if metric == "euclid":
-        return -np.sqrt(sq)
-    if metric == "poincare":
+        return -np.sqrt(_squares(q, d))
+    if metric.startswith("poincare"):  # with a curvature behind a colon
+        c = float(metric.partition(":")[2] or 1.0)
         cut = 1 - 1e-9
-        den = (1 - np.minimum((q * q).sum(1), cut))[:, None] * (1 - np.minimum((d * d).sum(1), cut))[None, :]
-        return -np.arccosh(np.maximum(1 + 2 * sq / den, 1.0))
+        den = (1 - np.minimum(c * (q * q).sum(1), cut))[:, None] * (1 - np.minimum(c * (d * d).sum(1), cut))[None, :]
+        return -np.arccosh(np.maximum(1 + 2 * c * _squares(q, d) / den, 1.0)) / np.sqrt(c)
+    if metric.lstrip("-").startswith("maxsim:"):
+        size = int(metric.partition(":")[2])
+        tokens = np.ascontiguousarray(d.reshape(len(d), -1, size).transpose(1, 2, 0))  # token, dimension, document
+        out = np.zeros((len(q), len(d)))
+        for x in q.reshape(len(q), -1, size).transpose(1, 0, 2):
+            best = x @ tokens[0]
+            for t in tokens[1:]:
+                np.maximum(best, x @ t, out=best)
+            out += best
+        return -out if metric[0] == "-" else out
     raise ValueError(metric)
 
 
-def _best(part: str, q_ids, q, d_ids, d, k: int, metric: str, skip_self: bool) -> pd.DataFrame:
-    s = np.round(scores(metric, q, d), 9)
-    if skip_self:
-        s[q_ids[:, None] == d_ids[None, :]] = -np.inf
-    n = min(k, len(d_ids))
-    order = np.argsort(d_ids, kind="stable")
-    s, ids = s[:, order], d_ids[order]
-    top = np.argsort(-s, axis=1, kind="stable")[:, :n] if n < 64 or n == len(ids) else np.argsort(-s, axis=1, kind="stable")[:, :n]
-    got = np.take_along_axis(s, top, 1)
-    out = pd.DataFrame({"part": part, "query_id": np.repeat(q_ids, n), "doc_id": ids[top].ravel(), "score": got.ravel()})
-    return out[np.isfinite(out["score"])]
-
-
-def _matrix(col: pd.Series) -> np.ndarray:
-    return np.array(col.tolist(), dtype=np.float64)
+def top(s: np.ndarray, n: int) -> np.ndarray:
+    """Columns of the n highest of each row, best first; equal scores by the lower column."""
+    if n < s.shape[1] // 4 and s.shape[1] <= 4096 and np.abs(np.where(np.isfinite(s), s, 0)).max(initial=0) < 16:
+        # scores have nine places: a tenth of the last one, spread over the columns, breaks ties
+        key = np.arange(s.shape[1]) * (1e-10 / 4096) - s
+        at = np.argpartition(key, n - 1, axis=1)[:, :n]
+        return np.take_along_axis(at, np.argsort(np.take_along_axis(key, at, 1), axis=1), 1)
+    return np.argsort(-s, axis=1, kind="stable")[:, :n]
+
+
+class Best:
+    """The k best documents so far of each of some queries."""
+
+    def __init__(self, ids: np.ndarray, vecs: np.ndarray, k: int, metric: str, skip_self: bool):
+        self.q_ids, self.q, self.k, self.metric, self.skip_self = ids, vecs, k, metric, skip_self
+        self.ids = np.zeros((len(ids), 0), dtype=np.int64)
+        self.scores = np.zeros((len(ids), 0))
+
+    def add(self, d_ids: np.ndarray, d: np.ndarray) -> None:
+        by = np.argsort(d_ids, kind="stable")  # ties go to the lower document
+        d_ids, d = d_ids[by], d[by]
+        width = min(self.k, self.ids.shape[1] + len(d_ids))
+        ids, found = np.empty((len(self.q_ids), width), dtype=np.int64), np.empty((len(self.q_ids), width))
+        for i in range(0, len(self.q_ids), QUERIES):
+            j = slice(i, i + QUERIES)
+            s = np.round(scores(self.metric, self.q[j], d), 9) + 0.0
+            if self.skip_self:
+                s[self.q_ids[j, None] == d_ids[None, :]] = -np.inf
+            at = top(s, min(self.k, len(d_ids)))
+            s, here = np.take_along_axis(s, at, 1), d_ids[at]
+            if self.ids.shape[1]:
+                s, here = np.concatenate([self.scores[j], s], axis=1), np.concatenate([self.ids[j], here], axis=1)
+                order = np.argsort(here, axis=1, kind="stable")
+                s, here = np.take_along_axis(s, order, 1), np.take_along_axis(here, order, 1)
+                at = top(s, width)
+                s, here = np.take_along_axis(s, at, 1), np.take_along_axis(here, at, 1)
+            ids[j], found[j] = here, s
+        self.ids, self.scores = ids, found
+
+    def rows(self, part: str) -> pa.RecordBatch:
+        keep = np.isfinite(self.scores).ravel()
+        n = int(keep.sum())
+        cols = [pa.array([part], pa.string()).take(pa.array(np.zeros(n, np.int64))), pa.array(np.repeat(self.q_ids, self.ids.shape[1])[keep]), pa.array(self.ids.ravel()[keep]), pa.array(self.scores.ravel()[keep])]
+        return pa.RecordBatch.from_arrays(cols, schema=_ARROW)
+
+
+def _matrix(col) -> np.ndarray:
+    """The vectors of an Arrow list column as rows."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    values = np.asarray(col.flatten(), dtype=np.float64)
+    return values.reshape(len(col), -1) if len(col) else np.zeros((0, 0))
+
+
+def _parts(batch) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """part, ids and vectors of a table's rows; blocks of at most DOCS rows."""
+    part = np.array(batch.column("part").to_pylist(), dtype=object)
+    ids = np.asarray(batch.column("id"), dtype=np.int64)
+    for p in sorted(set(part.tolist())):
+        at = np.flatnonzero(part == p)
+        for i in range(0, len(at), DOCS):
+            some = pa.array(at[i : i + DOCS])
+            yield p, ids[at[i : i + DOCS]], _matrix(batch.column("vec").take(some))
 
 
 def knn(queries: DataFrame, docs: DataFrame, k: int, metric: str = "cosine", skip_self: bool = True, broadcast: bool | None = None) -> DataFrame:
     """part, query_id, doc_id, rank, score.  Both inputs: id, vec and, if wanted, part."""
-    queries, docs = ((x if "part" in x.columns else x.withColumn("part", F.lit(""))).select(F.col("part").cast("string"), F.col("id").cast("long"), "vec") for x in (queries, docs))
+    queries, docs = ((x if "part" in x.columns else x.withColumn("part", F.lit(""))).select(F.col("part").cast("string"), F.col("id").cast("long"), F.col("vec").cast("array<double>")) for x in (queries, docs))
+    rows = None
     if broadcast is None:
+        queries = queries.persist()
         size = queries.agg(F.coalesce(F.sum(F.size("vec")), F.lit(0))).first()[0]
         broadcast = size <= BROADCAST_NUMBERS
+        rows = queries.toArrow() if broadcast else None
+        queries.unpersist()
     if broadcast:
-        rows = queries.toPandas()
-        held = {p: (g["id"].to_numpy(np.int64), _matrix(g["vec"])) for p, g in rows.groupby("part")}
+        rows = queries.toArrow() if rows is None else rows
+        held: dict[str, tuple] = {}
+        for p, ids, vecs in _parts(rows):
+            old = held.get(p)
+            held[p] = (np.concatenate([old[0], ids]), np.concatenate([old[1], vecs])) if old else (ids, vecs)
         shared = queries.sparkSession.sparkContext.broadcast(held)
 
-        def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best: dict[str, Best] = {}
             for b in batches:
-                for p, g in b.groupby("part"):
+                for p, ids, vecs in _parts(b):
                     if p in shared.value:
-                        q_ids, q = shared.value[p]
-                        d_ids, d = g["id"].to_numpy(np.int64), _matrix(g["vec"])
-                        for i in range(0, len(q_ids), BLOCK):
-                            yield _best(p, q_ids[i : i + BLOCK], q[i : i + BLOCK], d_ids, d, k, metric, skip_self)
-
-        hits = docs.mapInPandas(near, HITS)
+                        if p not in best:
+                            best[p] = Best(*shared.value[p], k, metric, skip_self)
+                        best[p].add(ids, vecs)
+                        if k > RUNNING:
+                            yield best.pop(p).rows(p)
+            for p, found in best.items():
+                yield found.rows(p)
+
+        hits = docs.mapInArrow(near, HITS)
     else:
         n_q = -(-queries.count() // BLOCK) or 1
         n_d = -(-docs.count() // BLOCK) or 1
@@ -83,12 +167,17 @@ def knn(queries: DataFrame, docs: DataFrame, k: int, metric: str = "cosine", ski
         b = docs.withColumn("db", F.pmod(F.xxhash64("id"), F.lit(n_d))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
         b = b.withColumn("db", F.col("db").cast("int")).withColumn("qb", F.col("qb").cast("long"))
 
-        def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-            if not len(x) or not len(y):
-                return pd.DataFrame({"part": [], "query_id": [], "doc_id": [], "score": []})
-            return _best(x["part"].iloc[0], x["id"].to_numpy(np.int64), _matrix(x["vec"]), y["id"].to_numpy(np.int64), _matrix(y["vec"]), k, metric, skip_self)
-
-        hits = a.groupBy("part", "qb", "db").cogroup(b.groupBy("part", "qb", "db")).applyInPandas(meet, HITS)
+        def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+            out = []
+            if x.num_rows and y.num_rows:
+                for p, ids, vecs in _parts(x):
+                    best = Best(ids, vecs, k, metric, skip_self)
+                    for _, d_ids, d in _parts(y):
+                        best.add(d_ids, d)
+                    out.append(best.rows(p))
+            return pa.Table.from_batches(out, _ARROW)
+
+        hits = a.groupBy("part", "qb", "db").cogroup(b.groupBy("part", "qb", "db")).applyInArrow(meet, HITS)
     return ranked(hits, k)
 
 

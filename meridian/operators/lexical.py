@@ -10,6 +10,8 @@ from ..functions import text as T
 MARGIN = 0.2
 K1, B = 1.2, 0.75
 RRF_K = 60
+#: Numbers of a table of tokens' shares up to which it is broadcast (about 60 bytes a token besides).
+BROADCAST_SHARES = 2_000_000
 
 
 def document_frequency(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -19,21 +21,26 @@ def document_frequency(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def identify(texts: DataFrame, df: DataFrame, n: DataFrame) -> DataFrame:
-    """id, lang, margin, coverage, confident, scores: the mean share of the known tokens' rates."""
-    rate = df.join(F.broadcast(n), "lang").withColumn("rate", F.col("df") / F.col("n"))  # n: a row a language
-    share = rate.withColumn("share", F.col("rate") / F.sum("rate").over(Window.partitionBy("token"))).select("token", "lang", "share")
-    toks = texts.select("id", T.tokens("text").alias("t"))
-    size = toks.select("id", F.size("t").alias("n_toks"))
-    hit = toks.select("id", F.explode("t").alias("token")).join(share, "token")
-    known = hit.groupBy("id").agg(F.countDistinct("token").alias("known"))
-    votes = hit.groupBy("id", "lang").agg(F.sum("share").alias("v")).join(known, "id").withColumn("score", F.col("v") / F.col("known"))
-    per = votes.groupBy("id").agg(F.first("known").alias("known"), F.reverse(F.array_sort(F.collect_list(F.struct(F.round("score", 9).alias("s"), "lang")))).alias("ranked"))
-    best = F.array_sort(F.transform("ranked", lambda z: F.struct((-z["s"]).alias("s"), z["lang"].alias("lang"))))
-    per = per.withColumn("best", best)
-    second = F.coalesce(-F.get("best", F.lit(1))["s"], F.lit(0.0))
-    per = per.select("id", "known", F.get("best", F.lit(0))["lang"].alias("lang"), (-F.get("best", F.lit(0))["s"] - second).alias("margin"))
-    out = size.join(per, "id", "left")
-    return out.select("id", "lang", F.coalesce("margin", F.lit(0.0)).alias("margin"), (F.coalesce("known", F.lit(0)) / F.greatest("n_toks", F.lit(1))).alias("coverage"), F.coalesce(F.round("margin", 9) >= MARGIN, F.lit(False)).alias("confident"))
+    """id, lang, margin, coverage, confident: the mean share of the known tokens' rates.
+
+    A token is one row with its shares of all languages.  That table is broadcast if a count shows it to be
+    small, so the texts' tokens aren't shuffled at all; beyond that the join is plain, and Spark's skew
+    handling splits frequent tokens.
+    """
+    langs = sorted(r.lang for r in n.select("lang").collect() if r.lang is not None)  # a row a language
+    rate = df.join(F.broadcast(n), "lang").withColumn("rate", F.col("df") / F.col("n"))
+    names = [f"s{i}" for i in range(len(langs))]
+    wide = rate.groupBy("token").agg(F.sum("rate").alias("all"), *[F.sum(F.when(F.col("lang") == x, F.col("rate")).otherwise(0.0)).alias(c) for c, x in zip(names, langs, strict=True)])
+    wide = wide.select("token", F.lit(1).alias("one"), *[(F.col(c) / F.col("all")).alias(c) for c in names]).persist()
+    small = wide.count() * max(len(langs), 1) <= BROADCAST_SHARES
+    toks = texts.select("id", T.tokens("text").alias("t")).select("id", F.size("t").alias("n_toks"), F.explode_outer("t").alias("token"))
+    hit = toks.join(F.broadcast(wide) if small else wide, "token", "left")
+    per = hit.groupBy("id").agg(F.max("n_toks").alias("n_toks"), F.count("one").alias("known"), *[F.sum(c).alias(c) for c in names])
+    best = F.array_sort(F.array(*[F.struct((-F.round(F.col(c) / F.col("known"), 9)).alias("s"), F.lit(x).alias("lang")) for c, x in zip(names, langs, strict=True)])) if langs else F.array().cast("array<struct<s:double,lang:string>>")
+    per = per.withColumn("best", F.when(F.col("known") > 0, best))
+    margin = -F.get("best", F.lit(0))["s"] + F.coalesce(F.get("best", F.lit(1))["s"], F.lit(0.0))
+    out = per.withColumn("margin", margin).select("id", F.get("best", F.lit(0))["lang"].alias("lang"), "margin", "known", "n_toks")
+    return out.select("id", "lang", F.coalesce("margin", F.lit(0.0)).alias("margin"), (F.col("known") / F.greatest("n_toks", F.lit(1))).alias("coverage"), F.coalesce(F.round("margin", 9) >= MARGIN, F.lit(False)).alias("confident"))
 
 
 def evidence(texts: DataFrame, df: DataFrame, n: DataFrame, top: int = 6) -> DataFrame:

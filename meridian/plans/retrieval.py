@@ -478,15 +478,22 @@ def prefix_configurations(spark, d):
     "select query_id, doc_id, r::bigint \"rank\", round(score, 4) score, round((score - lo) / greatest(hi - lo, 1e-9), 4) + 0.0 minmax from n where r <= 5"
 )
 def maxsim(spark, d):
-    """Late interaction: the sum over query tokens of the best document token, and its min-max form."""
-    e = X.read(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    t = e.select("vec_id", "label", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("g"), "v").select("vec_id", "label", "g", F.slice("v", F.col("g") * 8 + 1, F.lit(8)).alias("x"))
-    q = t.select(F.col("vec_id").alias("query_id"), "label", "g", F.col("x").alias("qx"))
-    s = q.join(t.select(F.col("vec_id").alias("doc_id"), "label", F.col("x").alias("dx")), "label").where("query_id <> doc_id").groupBy("query_id", "doc_id", "g").agg(F.max(V.dot("qx", "dx")).alias("b"))
-    z = s.groupBy("query_id", "doc_id").agg(F.round(F.sum("b"), 9).alias("score"))
-    w = Window.partitionBy("query_id")
-    n = z.withColumns({"lo": F.min("score").over(w), "hi": F.max("score").over(w), "rank": F.row_number().over(w.orderBy(F.col("score").desc(), "doc_id")).cast("long")})
-    return n.where("rank <= 5").select("query_id", "doc_id", "rank", r4(F.col("score")).alias("score"), r4((F.col("score") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-9))).alias("minmax"))
+    """Late interaction: the sum over query tokens of the best document token, and its min-max form, inside the query's class."""
+    e = _multivectors(spark, d).withColumn("part", F.col("label").cast("string"))
+    best, worst = knn(e, e, 5, "maxsim:8"), knn(e, e, 1, "-maxsim:8").select("query_id", (-F.col("score")).alias("lo"))
+    return _minmax(best.join(worst, "query_id"))
+
+
+def _multivectors(spark, d):
+    """id, label, vec: eight tokens of eight numbers, one after the other."""
+    return X.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("vec"))
+
+
+def _minmax(hits):
+    """hits with lo, the query's lowest score; rank 1 has the highest."""
+    hi = F.max("score").over(Window.partitionBy("query_id"))
+    form = (F.col("score") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-9))
+    return hits.withColumn("hi", hi).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), r4(F.col("score")).alias("score"), r4(form).alias("minmax"))
 
 
 PREFETCH = 50
