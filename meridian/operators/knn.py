@@ -45,11 +45,10 @@ def scores(metric: str, q: np.ndarray, d: np.ndarray) -> np.ndarray:
         return -np.arccos(np.clip(q @ d.T, -1.0, 1.0))
     if metric == "euclid":
         return -np.sqrt(_squares(q, d))
-    if metric.startswith("poincare"):  # with a curvature behind a colon
-        c = float(metric.partition(":")[2] or 1.0)
+    if metric == "poincare":
         cut = 1 - 1e-9
-        den = (1 - np.minimum(c * (q * q).sum(1), cut))[:, None] * (1 - np.minimum(c * (d * d).sum(1), cut))[None, :]
-        return -np.arccosh(np.maximum(1 + 2 * c * _squares(q, d) / den, 1.0)) / np.sqrt(c)
+        den = (1 - np.minimum((q * q).sum(1), cut))[:, None] * (1 - np.minimum((d * d).sum(1), cut))[None, :]
+        return -np.arccosh(np.maximum(1 + 2 * _squares(q, d) / den, 1.0))
     if metric.lstrip("-").startswith("maxsim:"):
         size = int(metric.partition(":")[2])
         tokens = np.ascontiguousarray(d.reshape(len(d), -1, size).transpose(1, 2, 0))  # token, dimension, document

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -43,6 +43,11 @@ def identify(texts: DataFrame, df: DataFrame, n: DataFrame) -> DataFrame:
     return out.select("id", "lang", F.coalesce("margin", F.lit(0.0)).alias("margin"), (F.col("known") / F.greatest("n_toks", F.lit(1))).alias("coverage"), F.coalesce(F.round("margin", 9) >= MARGIN, F.lit(False)).alias("confident"))
 
 
+def chosen_language(override: str, lang: str, confident: str, pivot: str) -> Column:
+    """A given language, else a confidently detected one, else the pivot."""
+    return F.coalesce(F.nullif(F.col(override), F.lit("")), F.when(F.col(confident), F.col(lang)), F.lit(pivot))
+
+
 def evidence(texts: DataFrame, df: DataFrame, n: DataFrame, top: int = 6) -> DataFrame:
     """id, rank, token, lang, share: the tokens that decided."""
     rate = df.join(F.broadcast(n), "lang").withColumn("rate", F.col("df") / F.col("n"))

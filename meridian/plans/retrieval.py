@@ -128,11 +128,11 @@ def prefetch_rescore(spark, d):
     return _rescored(_ball(spark, d), 50, 10).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), r4(F.col("score")).alias("score"))
 
 
-SIZES = [10, 50, 100, 300]
+SIZES = [10, 50, 100, 300, 1000]
 
 
 @query(
-    ctes(BALL, oknn("h", "ball", "ball", 10, f"-{poincare()}"), oknn("e", "ball", "ball", 300, f"-sqrt({SQD})"),
+    ctes(BALL, oknn("h", "ball", "ball", 10, f"-{poincare()}"), oknn("e", "ball", "ball", max(SIZES), f"-sqrt({SQD})"),
          "r0 as (select h.query_id, h.doc_id, h.\"rank\" er, 1 + 2 * h.score * h.score / ((1 - list_inner_product(a.vec, a.vec)) * (1 - list_inner_product(b.vec, b.vec))) x from e h join ball a on a.id = h.query_id join ball b on b.id = h.doc_id)",
          f"rs as (select s.size, query_id, doc_id, row_number() over (partition by s.size, query_id order by round({FORMULA}, 8) desc, doc_id) rr from r0, (select unnest({SIZES}) size) s where er <= s.size qualify rr <= 10)")
     + "select size, round(count(h.doc_id) / (10.0 * (select count(*) from ball)), 4) recall10, round((select count(*) from e join h using (query_id, doc_id) where e.\"rank\" <= 10) / (10.0 * (select count(*) from ball)), 4) euclid10 from rs left join h using (query_id, doc_id) group by 1"
@@ -225,7 +225,9 @@ def matryoshka_sweep(spark, d):
 # the code of a concept is a point of the ball: that of its least id
 CODES = "codes as (select label code, arg_min(vec, id) vec from ball group by 1)"
 DIST = f"dist as (select q.code a, d.code b, {poincare()} dd from codes q join codes d on true)"
-BETAS = [0.0, 0.04, 0.08, 0.12, 0.5]
+BETAS = [0.0, 0.04, 0.08, 0.12, 0.16, 0.24, 0.40]
+# concepts that stand in for combinations of substances
+COMBO = "{} % 5 = 4"
 
 
 def _codes(spark, d):
@@ -263,16 +265,16 @@ def hyperbolic_rerank(spark, d):
 
 
 @query(
-    ctes(*RERANK, "t as (select beta, query_id, max((r = 1 and rk.concept = q.concept)::int) t1, max((r <= 3 and rk.concept = q.concept)::int) t3, max((rk.anchor = q.concept)::int) ac from rk join corpus q on q.id = query_id group by 1, 2)")
-    + "select t.beta, count(*) n, round(avg(t.t1), 4) top1, round(avg(t.t3), 4) top3, sum((b.t1 = 1 and t.t1 = 0)::int)::bigint broken, round(avg(coalesce(t.ac, 0)), 4) anchor_accuracy from t join t b on b.query_id = t.query_id and b.beta = 0 group by 1"
+    ctes(*RERANK, "t as (select beta, query_id, max((r = 1 and rk.concept = q.concept)::int) t1, max((r <= 3 and rk.concept = q.concept)::int) t3, max((rk.anchor = q.concept)::int) ac, max((r = 1 and rk.concept <> q.concept and " + COMBO.format("rk.concept") + " and not " + COMBO.format("q.concept") + ")::int) ce from rk join corpus q on q.id = query_id group by 1, 2)")
+    + "select t.beta, count(*) n, round(avg(t.t1), 4) top1, round(avg(t.t3), 4) top3, sum((b.t1 = 1 and t.t1 = 0)::int)::bigint broken, sum(t.ce)::bigint combo_err, round(avg(coalesce(t.ac, 0)), 4) anchor_accuracy from t join t b on b.query_id = t.query_id and b.beta = 0 group by 1"
 )
 def rerank_sweep(spark, d):
     c, _, h = _reranked(spark, d, BETAS, 10)
     q = c.select(F.col("id").alias("query_id"), F.col("concept").alias("gold"))
     hit = F.col("concept") == F.col("gold")
-    t = h.join(q, "query_id").groupBy("beta", "query_id").agg(F.max(((F.col("rank") == 1) & hit).cast("int")).alias("t1"), F.max(((F.col("rank") <= 3) & hit).cast("int")).alias("t3"), F.max((F.col("anchor") == F.col("gold")).cast("int")).alias("ac"))
+    t = h.join(q, "query_id").groupBy("beta", "query_id").agg(F.max(((F.col("rank") == 1) & hit).cast("int")).alias("t1"), F.max(((F.col("rank") <= 3) & hit).cast("int")).alias("t3"), F.max((F.col("anchor") == F.col("gold")).cast("int")).alias("ac"), F.max(((F.col("rank") == 1) & ~hit & F.expr(COMBO.format("concept")) & ~F.expr(COMBO.format("gold"))).cast("int")).alias("ce"))
     b = t.where("beta = 0").select("query_id", F.col("t1").alias("b1"))
-    return t.join(b, "query_id").groupBy("beta").agg(F.count("*").alias("n"), r4(F.avg("t1")).alias("top1"), r4(F.avg("t3")).alias("top3"), F.sum(((F.col("b1") == 1) & (F.col("t1") == 0)).cast("long")).alias("broken"), r4(F.avg(F.coalesce("ac", F.lit(0)))).alias("anchor_accuracy"))
+    return t.join(b, "query_id").groupBy("beta").agg(F.count("*").alias("n"), r4(F.avg("t1")).alias("top1"), r4(F.avg("t3")).alias("top3"), F.sum(((F.col("b1") == 1) & (F.col("t1") == 0)).cast("long")).alias("broken"), F.sum(F.col("ce").cast("long")).alias("combo_err"), r4(F.avg(F.coalesce("ac", F.lit(0)))).alias("anchor_accuracy"))
 
 
 @query(ctes(*RERANK[3:9]) + "select query_id, anchor::int anchor from anchor")
@@ -299,14 +301,17 @@ def hit_and_mrr(spark, d):
 
 @query(
     ctes(CORPUS, "s as (select *, '' part from corpus)", oknn("hits", "s", "s", 10), J, "p as (select q_lang, query_id, avg((lang = q_lang)::int) same from j group by 1, 2)", "sh as (select lang, count(*) / (select count(*) from corpus)::double share from corpus group by 1)")
-    + "select lang, count(*) n, round(avg(same), 4) same_share, round(any_value(share), 4) corpus_share, round(avg(same) / any_value(share), 4) lift, avg(same) / any_value(share) > 1.5 flagged from p join sh on sh.lang = p.q_lang group by 1"
+    + "select lang, count(*) n, round(avg(same), 4) same_share, round(any_value(share), 4) corpus_share, round(avg(same) / any_value(share), 4) lift, avg(same) / any_value(share) > 1.5 flagged from p join sh on sh.lang = p.q_lang group by 1 "
+    + "union all select 'all', count(*), round(avg(same), 4), round(avg(share), 4), round(avg(same) / avg(share), 4), avg(same) / avg(share) > 1.5 from p join sh on sh.lang = p.q_lang"
 )
 def language_lift(spark, d):
     c = X.vectors(spark, d)
     j = M.judged(knn(c, c, 10), c.drop("vec"))
     p = j.groupBy("q_lang", "query_id").agg(F.avg((F.col("lang") == F.col("q_lang")).cast("double")).alias("same"))
     sh = c.groupBy("lang").agg(F.count("*").alias("m")).withColumn("share", F.col("m") / F.sum("m").over(Window.partitionBy()))  # a row a language
-    g = p.groupBy(F.col("q_lang").alias("lang")).agg(F.count("*").alias("n"), F.avg("same").alias("s")).join(F.broadcast(sh), "lang")
+    each = p.withColumnRenamed("q_lang", "lang").join(F.broadcast(sh.select("lang", "share")), "lang")
+    about = [F.count("*").alias("n"), F.avg("same").alias("s"), F.avg("share").alias("share")]
+    g = each.groupBy("lang").agg(*about).union(each.agg(F.lit("all").alias("lang"), *about))  # all: weighted by queries
     return g.select("lang", "n", r4(F.col("s")).alias("same_share"), r4(F.col("share")).alias("corpus_share"), r4(F.col("s") / F.col("share")).alias("lift"), (F.col("s") / F.col("share") > 1.5).alias("flagged"))
 
 
