@@ -32,8 +32,8 @@ def _distance(u: np.ndarray, v: np.ndarray, ball: bool):
     return np.arccosh(arg), gu, gv
 
 
-def train(pairs: np.ndarray, n: int, dim: int, geometry: str, epochs: int = 60, negatives: int = 50, rate: float = 15.0, burn_in: int = 10, batch: int = 128, seed: int = 0) -> np.ndarray:
-    """n points of dim numbers; pairs: (child, ancestor) rows."""
+def train(pairs: np.ndarray, n: int, dim: int, geometry: str, epochs: int = 60, negatives: int = 50, rate: float = 15.0, burn_in: int = 20, batch: int = 128, seed: int = 0) -> np.ndarray:
+    """n points of dim numbers; pairs: (child, ancestor) rows.  One rate for both geometries, a tenth of it while burning in."""
     rng = np.random.default_rng(seed)
     e = rng.uniform(-1e-3, 1e-3, (n, dim))
     ball = geometry == "poincare"
@@ -52,20 +52,20 @@ def train(pairs: np.ndarray, n: int, dim: int, geometry: str, epochs: int = 60,
             np.add.at(grad, other, w[..., None] * gv)
             if ball:
                 grad *= ((1 - (e**2).sum(1)) ** 2 / 4)[:, None]
-            e -= lr * grad if ball else lr * 0.1 * grad
+            e -= lr * grad
             if ball:
                 size = np.linalg.norm(e, axis=1, keepdims=True)
                 e *= np.minimum(1, (1 - EDGE - 1e-6) / np.maximum(size, 1e-12))
     return e
 
 
-def grid(pairs: DataFrame, dims: list[int], geometries: list[str], epochs: int = 60, seed: int = 0) -> DataFrame:
+def grid(pairs: DataFrame, dims: list[int], geometries: list[str], epochs: int = 60, seed: int = 0, rate: float = 15.0, burn_in: int = 20) -> DataFrame:
     """dim, geometry, node, x; pairs: child, ancestor (a hierarchy that one machine can hold)."""
     cfg = pairs.sparkSession.createDataFrame([(d, g) for d in dims for g in geometries], "dim int, geometry string")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         nodes = np.unique(pdf[["child", "ancestor"]].to_numpy())
-        e = train(np.searchsorted(nodes, pdf[["child", "ancestor"]].sort_values(["child", "ancestor"]).to_numpy()), len(nodes), int(key[0]), key[1], epochs=epochs, seed=seed)
+        e = train(np.searchsorted(nodes, pdf[["child", "ancestor"]].sort_values(["child", "ancestor"]).to_numpy()), len(nodes), int(key[0]), key[1], epochs=epochs, seed=seed, rate=rate, burn_in=burn_in)
         return pd.DataFrame({"dim": int(key[0]), "geometry": key[1], "node": nodes, "x": list(e.tolist())})
 
     return pairs.select("child", "ancestor").crossJoin(F.broadcast(cfg)).groupBy("dim", "geometry").applyInPandas(run, OUT)

@@ -44,12 +44,20 @@ def pair_distances(spark, d):
 
 @query(
     ctes(BALL, "f as (select label, arg_min(vec, id) u, arg_max(vec, id) v, min(id) a, max(id) b from ball group by 1)")
-    + "select label, round(" + poincare("u", "v") + ", 4) direct, round(acosh(greatest(1 + 2 * e / (a1 * b1), 1.0)), 4) cut, round(acosh(1 + 2 * e / greatest(a1 * b1, 1e-12)), 4) floor_den from (select *, list_sum(list_transform(list_zip(u, v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) e, 1 - least(list_inner_product(u, u), 1 - 1e-5) a1, 1 - least(list_inner_product(v, v), 1 - 1e-5) b1 from f)"
+    + "select label, round(" + poincare("u", "v") + ", 4) direct, round(acosh(greatest(1 + 2 * e / (a1 * b1), 1.0)), 4) cut, round(acosh(greatest(1 + 2 * e / (a1 * b1), 1 + 1e-7)), 4) cut_floor, round(acosh(1 + 2 * e / greatest(a1 * b1, 1e-12)), 4) floor_den, "
+    "round(acosh(1 + 2 * greatest(uu + vv - 2 * uv, 0) / greatest((1 - uu) * (1 - vv), 1e-12)), 4) gram, "
+    "round(acosh(greatest(1 + 2 * f / (1e-9 * 1e-9), 1.0)), 4) edge_direct, round(acosh(greatest(1 + 2 * f / (1e-5 * 1e-5), 1 + 1e-7)), 4) edge_cut_floor, round(acosh(1 + 2 * f / 1e-12), 4) edge_floor_den from "
+    "(select *, list_sum(list_transform(list_zip(u, v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) e, 1 - least(list_inner_product(u, u), 1 - 1e-5) a1, 1 - least(list_inner_product(v, v), 1 - 1e-5) b1, list_inner_product(u, u) uu, list_inner_product(v, v) vv, list_inner_product(u, v) uv, "
+    "list_sum(list_transform(list_zip(u, v), lambda p: (p[1] / sqrt(list_inner_product(u, u)) - p[2] / sqrt(list_inner_product(v, v))) ** 2)) f from f)"
 )
 def poincare_variants(spark, d):
-    """The clamp variants of the distance agree away from the boundary."""
+    """The five clamp variants: alike inside the ball, apart on its edge, where each has a limit of its own."""
     f = _ball(spark, d).groupBy("label").agg(F.min_by("vec", "id").alias("u"), F.max_by("vec", "id").alias("v"))
-    return f.select("label", r4(V.poincare("u", "v")).alias("direct"), r4(V.poincare("u", "v", 1 - 1e-5, 1.0)).alias("cut"), r4(V.poincare("u", "v", 1.0, 1.0, 1e-12)).alias("floor_den"))
+    f = f.withColumns({"eu": V.scaled("u", 1 / V.norm("u")), "ev": V.scaled("v", 1 / V.norm("v"))})
+    gram = F.acosh(1 + 2 * F.greatest(V.dot("u", "u") + V.dot("v", "v") - 2 * V.dot("u", "v"), F.lit(0.0)) / F.greatest((1 - V.dot("u", "u")) * (1 - V.dot("v", "v")), F.lit(1e-12)))
+    variants = {"direct": V.poincare("u", "v"), "cut": V.poincare("u", "v", 1 - 1e-5, 1.0), "cut_floor": V.poincare("u", "v", 1 - 1e-5, 1 + 1e-7), "floor_den": V.poincare("u", "v", 1.0, 1.0, 1e-12), "gram": gram}
+    edge = {"edge_direct": V.poincare("eu", "ev"), "edge_cut_floor": V.poincare("eu", "ev", 1 - 1e-5, 1 + 1e-7), "edge_floor_den": V.poincare("eu", "ev", 1.0, 1.0, 1e-12)}
+    return f.select("label", *[r4(x).alias(n) for n, x in {**variants, **edge}.items()])
 
 
 def _mob(name, src, u, v):
@@ -158,7 +166,8 @@ TREE_BALL = [TREE, BALL, NODES]
 
 def _nodes(spark, d):
     t = X.tree(spark, d).withColumn("k", F.row_number().over(Window.orderBy("code")))  # stands in for an aligned matrix
-    b = _ball(spark, d).withColumn("k", F.row_number().over(Window.orderBy("id")))
+    # as many points as there are codes: a distributed top-n, then a window over a code tree's rows
+    b = _ball(spark, d).orderBy("id").limit(t.count()).withColumn("k", F.row_number().over(Window.orderBy("id")))
     return t.join(b, "k").select("code", "parent", "level", "id", "vec")
 
 

@@ -154,9 +154,10 @@ def rrf_corpus(spark, d):
 
 @query()
 def method_compare_corpus(spark, d):
-    """The three best of each method over the corpus side by side."""
+    """The three best of each method over the corpus side by side, given term weights (sparse) included."""
     out = None
-    for name, x in zip(("dense", "bm25", "rrf"), _corpus_fused(spark, d), strict=True):
+    e = X.vectors(spark, d).select("id", F.posexplode(F.slice("vec", 1, 8)).alias("term", "w")).where("w > 0")
+    for name, x in zip(("dense", "bm25", "rrf", "sparse"), (*_corpus_fused(spark, d), L.sparse_topk(e, e, 3)), strict=True):
         x = x.where("rank <= 3").select(F.lit(name).alias("method"), "query_id", "doc_id")
         out = x if out is None else out.union(x)
     return out

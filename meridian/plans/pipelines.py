@@ -26,17 +26,20 @@ def _pairs(spark, d):
     return p.join(F.broadcast(number.withColumnsRenamed({"code": "c", "n": "child"})), "c").join(F.broadcast(number.withColumnsRenamed({"code": "a", "n": "ancestor"})), "a")
 
 
+DIMS, EPOCHS = [2, 5, 10, 20, 50], 300
+
+
 @query()
 def poincare_training(spark, d):
-    """A grid of trained embeddings: mean average precision of ancestors and the largest norm."""
+    """A grid of trained embeddings (2 to 50 numbers, 300 epochs): mean average precision of ancestors and the largest norm."""
     p = _pairs(spark, d).select("child", "ancestor").persist()
-    e = training.grid(p, [2, 5], ["poincare", "euclidean"], epochs=40).withColumn("part", F.concat("geometry", F.lit("-"), F.col("dim").cast("string"))).persist()
+    e = training.grid(p, DIMS, ["poincare", "euclidean"], epochs=EPOCHS).withColumn("part", F.concat("geometry", F.lit("-"), F.col("dim").cast("string"))).persist()
     truth = p.select(F.col("child").alias("query_id"), F.col("ancestor").alias("doc_id"), F.lit(True).alias("hit"))
     out = None
     for g, metric in (("poincare", "poincare"), ("euclidean", "euclid")):
         v = e.where(F.col("geometry") == g).select("part", F.col("node").alias("id"), F.col("x").alias("vec"))
         order = knn(v, v, 10**6, metric).join(truth, ["query_id", "doc_id"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-        for dim in (2, 5):
+        for dim in DIMS:
             name = f"{g}-{dim}"
             ap = M.average_precision(order.where(F.col("part") == name)).agg(F.count("*").alias("n"), r4(F.avg("ap")).alias("map"))
             row = ap.crossJoin(v.where(F.col("part") == name).agg(r4(F.max(V.norm("vec"))).alias("max_norm"))).withColumn("config", F.lit(name))

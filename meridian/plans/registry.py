@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import etl, evaluation, geometry, lexical, pipelines, retrieval  # noqa: F401
+from . import etl, evaluation, files, geometry, lexical, pipelines, retrieval  # noqa: F401
 from .oracle import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

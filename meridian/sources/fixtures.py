@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.stats import with_rank
 
 PIVOT = "en"
 
@@ -64,7 +65,7 @@ def taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = F.col("r_name")
     paths = F.array(a, F.concat_ws(" > ", a, "n_name"), F.concat_ws(" > ", a, "n_name", "c_mktsegment"), F.concat_ws(" > ", a, "n_name", "c_mktsegment", "c_name"))
     p = j.select(F.explode(paths).alias("full_path")).distinct()
-    p = p.withColumn("id", F.row_number().over(Window.orderBy("full_path")).cast("long"))  # stands in for the file's own ids
+    p = with_rank(p, "id", "full_path", "full_path").withColumn("id", F.col("id").cast("long"))  # stands in for the file's own ids
     parts = F.split("full_path", " > ")
     return p.select("id", "full_path", parts.alias("parts"), (F.size(parts) - 1).alias("depth"), F.element_at(parts, -1).alias("name"))
 

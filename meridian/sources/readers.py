@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators.stats import with_rank
 
 ES_SCHEMA = (
     "nombre string, nregistro string, vtm struct<nombre:string>, dosis string, cpresc string, generico boolean, "
@@ -26,10 +27,12 @@ def _first_by_name(df: DataFrame) -> DataFrame:
 
 def registry_positional(spark: SparkSession, path: str) -> DataFrame:
     """A ;-separated registry without usable names: columns by place; rows of fewer than 16 are dropped."""
-    lines = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id())
-    cols = F.from_csv(F.regexp_replace("value", "^\\ufeff", ""), ", ".join(f"c{i} string" for i in range(16)), {"sep": ";", "mode": "PERMISSIVE"})
-    width = F.size(F.split("value", ";"))
-    r = lines.where((width >= 16) & ~F.regexp_replace("value", "^\\ufeff", "").startswith("Id")).select("ord", cols.alias("c"))
+    value = F.regexp_replace("value", "^\\ufeff", "")
+    lines = spark.read.text(path).select(value.alias("value"), F.monotonically_increasing_id().alias("ord"))
+    head = lines.orderBy("ord").limit(1).collect()  # the header; files of one registry have the same
+    cols = F.from_csv("value", ", ".join(f"c{i} string" for i in range(16)), {"sep": ";", "mode": "PERMISSIVE"})
+    width = F.size(F.split(F.regexp_replace("value", '"[^"]*"', ""), ";"))  # separators in quotes don't count
+    r = lines.where((width >= 16) & (F.col("value") != (head[0]["value"] if head else ""))).select("ord", cols.alias("c"))
     t = {n: F.coalesce(F.trim(F.col(f"c.c{i}")), F.lit("")) for n, i in (("brand", 1), ("inn", 2), ("strength", 7), ("form", 8), ("atc", 12), ("holder", 13))}
     t["holder"] = F.substring(t["holder"], 1, 60)
     return _first_by_name(r.select("ord", *[c.alias(n) for n, c in t.items()]).where(X.valid_code("atc", "brand"))).drop("ord")
@@ -59,10 +62,11 @@ def registry_json(spark: SparkSession, path: str, per_code: int = 6) -> DataFram
     return out.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= per_code).drop("rn", "ord")
 
 
-def code_index(spark: SparkSession, path: str) -> DataFrame:
-    """Paged JSON answers of a code index: code, name; the first answer for a code counts."""
-    r = spark.read.schema("resultados array<struct<codigo:string,nombre:string>>").json(path, multiLine=True)
-    return r.select(F.explode("resultados").alias("r")).select(F.col("r.codigo").alias("code"), F.col("r.nombre").alias("name")).groupBy("code").agg(F.min("name").alias("name"))
+def code_index(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Paged JSON answers of a code index (a file each, or one a line): code, name; the first answer for a code counts."""
+    r = spark.read.schema("resultados array<struct<codigo:string,nombre:string>>").json(path, multiLine=not lines)
+    r = r.select(F.monotonically_increasing_id().alias("page"), F.posexplode("resultados").alias("pos", "r"))
+    return r.groupBy(F.col("r.codigo").alias("code")).agg(F.min_by("r.nombre", F.struct("page", "pos")).alias("name"))
 
 
 def taxonomy_text(spark: SparkSession, path: str) -> DataFrame:
@@ -132,10 +136,28 @@ def unhalf(df: DataFrame) -> DataFrame:
     return df.select("id", "bytes").mapInPandas(run, "id long, vec array<double>")
 
 
+def with_offsets(df: DataFrame, id_col: str = "id") -> DataFrame:
+    """Adds offset: where a row's bytes begin if all are written one after the other in the order of ids."""
+    size = df.select(F.max(F.octet_length("bytes"))).first()[0] or 0
+    out = with_rank(df.select(id_col, "bytes"), "place", id_col, id_col)
+    return out.withColumn("offset", ((F.col("place") - 1) * size).cast("long")).drop("place")
+
+
 def write_vectors(df: DataFrame, path: str) -> None:
     """A vector collection as Parquet; writing again replaces it."""
     df.write.mode("overwrite").parquet(path)
 
 
+def upsert_vectors(df: DataFrame, path: str, id_col: str = "id") -> str:
+    """A new version of the collection beside the old one: df's rows, and the old rows of other ids; returns its path.
+
+    The old version stays readable until the caller drops it, so a job that dies halfway loses nothing.
+    """
+    old = df.sparkSession.read.parquet(path)
+    new = path.rstrip("/") + "-next"
+    df.unionByName(old.join(df.select(id_col), id_col, "left_anti"), allowMissingColumns=True).write.mode("overwrite").parquet(new)
+    return new
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.scan import MIN_CONFIDENCE
+from ..storage import new_path
 
 
 def best_readings(blocks: DataFrame) -> DataFrame:
@@ -28,10 +29,20 @@ def windowed_counts(events: DataFrame, lateness: str = "10 minutes", width: str
 
 
 def drained(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """Run a stream over what there is and return its result table."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Run a stream over what there is and return its result table.
+
+    State and progress lie in the shared folder, so the run survives lost executors.  In "complete" mode the
+    last result replaces the ones before, whatever the batches were; it is written as Parquet, never held by the driver.
+    """
+    spark, out = stream.sparkSession, {"path": ""}
+
+    def keep(batch: DataFrame, _: int) -> None:
+        out["path"] = new_path(spark, name)
+        batch.write.parquet(out["path"])
+
+    q = stream.writeStream.outputMode(mode).option("checkpointLocation", new_path(spark, f"{name}-state")).foreachBatch(keep).trigger(availableNow=True).start()
     try:
         q.awaitTermination()
     finally:
         q.stop()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(out["path"]) if out["path"] else spark.createDataFrame([], stream.schema)

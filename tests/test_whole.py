@@ -46,7 +46,7 @@ def test_matched_terms_of_the_target_language(spark, corpus):
 def test_fusion_over_documents(spark, corpus):
     assert {r.query_id for r in run(spark, "rrf_corpus")} == set(corpus)
     got = collections.Counter((r.method, r.query_id) for r in run(spark, "method_compare_corpus"))
-    assert all(got["dense", i] == got["rrf", i] == 3 for i in corpus) and {m for m, _ in got} == {"dense", "bm25", "rrf"}
+    assert all(got["dense", i] == got["rrf", i] == 3 for i in corpus) and {m for m, _ in got} == {"dense", "bm25", "rrf", "sparse"}
 
 
 @pytest.fixture(scope="module")
@@ -86,3 +86,45 @@ def test_sparse_dot_whatever_the_concept(spark, vectors, corpus):
         best = np.sort(s[i][s[i] > 0])[::-1][:3]
         assert [x for x, _ in got[q]] == pytest.approx(best, abs=1e-4)
     assert any(other for x in got.values() for _, other in x)
+
+
+def test_endpoints(spark):
+    """Each endpoint is a selection of what the registered query gives."""
+    from meridian.plans import endpoints as E
+
+    code = run(spark, "tree_geometry")[-1].code
+    disk = E.disk(spark, SF, code)
+    assert disk["points"].count() > 0 and disk["chain"].count() >= 1 and {r.code for r in disk["path"].collect()} <= {code}
+    some = run(spark, "knn_cosine")[0].query_id
+    want = sorted((r["rank"], r.doc_id) for r in run(spark, "knn_cosine") if r.query_id == some)
+    assert sorted((r["rank"], r.doc_id) for r in E.search(spark, SF, some).collect()) == want
+    assert {r.lang for r in E.search(spark, SF, some, 5, "en").collect()} == {"en"}
+    assert {r.panel for r in E.panels(spark, SF, some).collect()} == {"hyperbolic", "euclidean", "text"}
+    assert E.compare(spark, SF, some).count() == 2 and E.methods(spark, SF, some).count() >= 9 and E.ancestors(spark, SF, 1).count() == 1
+    assert all(x(spark, SF).count() > 0 for x in (E.anomalies, E.tree, E.demo_queries, E.language))
+
+
+def test_knn_by_any_blocking(spark):
+    """Ties, long lists, and several batches against a full sort."""
+    from pyspark.sql import functions as F
+
+    from meridian.operators.knn import knn, scores
+
+    rng = np.random.default_rng(4)
+    v = rng.integers(-2, 3, (400, 8)) / 4.0  # many ties
+    ids = rng.permutation(400) + 1
+    d = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v)], "id long, vec array<double>").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        for metric in ("cosine", "euclid", "angular", "maxsim:4", "-maxsim:4"):
+            s = np.round(scores(metric, v, v), 9) + 0.0
+            for k, broadcast in ((7, True), (7, False), (2000, True)):
+                got = collections.defaultdict(dict)
+                for r in knn(d, d, k, metric, broadcast=broadcast).where(F.col("query_id") <= 40).collect():
+                    got[r.query_id][r["rank"]] = r.doc_id
+                for q in range(400):
+                    if ids[q] <= 40:
+                        order = sorted((j for j in range(400) if j != q), key=lambda j: (-s[q, j], ids[j]))[:k]
+                        assert [got[ids[q]][r] for r in sorted(got[ids[q]])] == [ids[j] for j in order], (metric, k)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
