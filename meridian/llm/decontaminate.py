@@ -7,8 +7,8 @@ that was copied a thousand times stays a seed.  Documents that hold a seed are a
 around it: match 1, mismatch and gap -1/2, divided by the item's length.  A score of at least MIN_SCORE
 is a leak; copies with changed, dropped or added words keep most of their score.
 
-Test items are taken in chunks of at most CHUNK rows, so what is broadcast is bounded whatever the
-benchmark's size; each chunk is one reading of the documents.  Null or empty texts on either side never
+Test items are taken in chunks of about CHUNK rows or CHUNK_BYTES of text, so what is broadcast is bounded
+whatever the benchmark's size; each chunk reads the documents twice (counts, then seeds and alignments).  Null or empty texts on either side never
 match; items of one word are compared as whole items; repeated rows are each reported; empty tables
 give no rows.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import SLICE_BYTES, bounded_batches, coded, id_and_text, mix, slices, words_of
 
-CHUNK = 20_000
+CHUNK, CHUNK_BYTES = 20_000, 8 << 20
 SHORTEST, LONGEST = 2, 8
 #: Chance hits in the corpus that a seed may have.
 EXPECTED = 1.0
@@ -190,7 +190,8 @@ def _matches(items: Items, text: pa.Array, min_score: float) -> list[tuple[int,
 def _chunks(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text: str) -> Iterator:
     """Broadcast items with seeds, a chunk at a time; docs: doc_id, text."""
     b = benchmark.select(F.col(item_col).alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
-    parts = max(1, -(-b.count() // CHUNK))
+    rows, size = b.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = max(1, -(-rows // CHUNK), -(-size // CHUNK_BYTES))
     for i in range(parts):
         rows = sorted(b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i).collect(), key=lambda r: (str(r.item_id), r.text))
         yield _seeded(docs, Items([r.item_id for r in rows], [r.text for r in rows]))

@@ -36,7 +36,7 @@ def _case(column: str) -> str:
 
 
 def _levels() -> str:
-    out = ["s4 as (select gram g, sum(a) a, sum(r) r from ex group by 1)"]
+    out = ["s4 as (select gram g, sum(case when back then 0 else a end) a, sum(case when back then 0 else r end) r from ex group by 1)"]
     out += [f"s{k} as (select substring(g, 2) g, sum(a) a, sum(r) r from s{k + 1} group by 1)" for k in (3, 2, 1)]
     for k in (1, 2, 3, 4):
         below = {c: f"l.p{c}" if k > 1 else f"(1.0::double / {url_filter.ALPHABET})" for c in "ar"}
@@ -51,11 +51,13 @@ _URL = "(?s)^.*?://([^/?#]*)([^?#]*)"
 _LOW = f"'{url_filter._UPPER}', '{url_filter._LOWER}'"
 URLS = f"""with p0 as (select page_id, translate(regexp_extract(coalesce(url, ''), '{_URL}', 1), {_LOW}) host, regexp_extract(coalesce(url, ''), '{_URL}', 2) path from pages),
 p as (select *, {_case("rule")} "rule", {_case("verdict")} ruled, '^^^' || regexp_replace(regexp_replace(translate(host || path, {_LOW}), '[0-9]', '0', 'g'), '[^a-z0./_~%:-]', '?', 'g') || '$' s from p0),
-u as (select s, sum(coalesce(ruled = 'allow', false)::int) a, sum(coalesce(ruled = 'block', false)::int) r from p group by 1),
-ex as (select s, a, r, substring(s, i, 4) gram from (select *, unnest(range(1, length(s) - 2)) i from u)),
+u as (select s, sum(coalesce(ruled = 'allow', false)::int) a, sum(coalesce(ruled = 'block', false)::int) r, ('0x' || substring(md5(s), 1, 4))::int % {url_filter.FOLDS} = 0 back from p group by 1),
+ex as (select s, a, r, back, substring(s, i, 4) gram from (select *, unnest(range(1, length(s) - 2)) i from u)),
 {_levels()},
-sc as (select s, a, r, round(sum(ln(pa) - ln(pr)) / count(*), 9) score from ex join l4 on l4.g = ex.gram group by 1, 2, 3),
-mo as (select sum(a * score) / sum(a) ma, sqrt(greatest(sum(a * score * score) / sum(a) - (sum(a * score) / sum(a)) ** 2, 0)) sa, sum(r * score) / sum(r) mr, sqrt(greatest(sum(r * score * score) / sum(r) - (sum(r * score) / sum(r)) ** 2, 0)) sr, sum(a) na, sum(r) nr from sc),
+sc as (select s, a, r, back, round(sum(ln(pa) - ln(pr)) / count(*), 9) score from ex join l4 on l4.g = ex.gram group by 1, 2, 3, 4),
+ok as (select max(case when a > 0 then back end) ba, max(case when r > 0 then back end) br from sc),
+use as (select score, case when back or not (ba and br) then a else 0 end a, case when back or not (ba and br) then r else 0 end r from sc, ok),
+mo as (select sum(a * score) / sum(a) ma, sqrt(greatest(sum(a * score * score) / sum(a) - (sum(a * score) / sum(a)) ** 2, 0)) sa, sum(r * score) / sum(r) mr, sqrt(greatest(sum(r * score * score) / sum(r) - (sum(r * score) / sum(r)) ** 2, 0)) sr, sum(a) na, sum(r) nr from use),
 th as (select round(case when na > 0 and nr > 0 then case when sa + sr > 0 then (ma * sr + mr * sa) / (sa + sr) else (ma + mr) / 2 end end, 9) threshold from mo)
 select page_id, host, path, "rule", coalesce(ruled, case when threshold is null or score >= threshold then 'allow' else 'block' end) verdict, score, threshold from p join sc using (s), th"""
 

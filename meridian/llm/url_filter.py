@@ -1,13 +1,19 @@
 """URL filter: host and path rules, else a character language-model ratio [DataFrame functions only].
 
 Two smoothed variable-order Markov models (Witten-Bell interpolation of orders 3 to 0 and a uniform
-floor) are counted from the URLs that rules accept and reject.  A URL without a rule is judged by its
-log-likelihood ratio a character, against the point between both classes' means that lies as many of
-their standard deviations from either.
+floor) are counted from the URLs that rules accept and reject, four fifths of the distinct ones by a hash.
+A URL without a rule is judged by its log-likelihood ratio a character, against a threshold calibrated on
+the other fifth, which the models haven't seen: the point between both classes' means that lies as many of
+their standard deviations from either.  Where that fifth lacks a class, all URLs with rules calibrate.
 
 Null URLs and URLs without ``://`` have empty host and path and are judged by the model of an empty
 string.  If one class has no URL, every URL without a rule is allowed.  Repeated rows get equal
-verdicts.  A URL of any length is used whole.
+verdicts.  Null ids and columns of any name are allowed; an empty table gives an empty table.  A URL of any
+length is used whole.
+
+Equal URLs are judged once, so a URL that a third of all pages share is one row of the model; bringing
+verdicts back and, beyond BROADCAST_ROWS, looking grams up are plain joins of written tables, which Spark's
+skew handling splits when one key is hot.
 """
 
 from __future__ import annotations
@@ -15,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Longest context, and characters that a model knows (letters, 0 for digits, 8 signs, start, end).
 ORDER = 3
 ALPHABET = 37
@@ -24,6 +32,8 @@ RULES: list[tuple[str, str, str]] = [
     ("example.com", "/de/", "block"),
     ("org", "/fr/", "allow"),
 ]
+#: One in so many distinct URLs with a rule calibrates the threshold instead of being counted.
+FOLDS = 5
 #: A table of n-gram scores is broadcast only up to so many rows (about 100 bytes each).
 BROADCAST_ROWS = 200_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -51,7 +61,8 @@ def normal(host: Column, path: Column) -> Column:
 
 
 def _grams(s: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(s) - ORDER), lambda i: F.substr(s, i, F.lit(ORDER + 1)))
+    """All runs of ORDER + 1 characters, in one pass (taking substrings by place would be quadratic)."""
+    return F.regexp_extract_all(s, F.lit(f"(?=(.{{{ORDER + 1}}}))"), F.lit(1))
 
 
 def gram_scores(grams: DataFrame) -> DataFrame:
@@ -81,22 +92,29 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_col: s
     h, p = F.col("host"), F.col("path")
     d = d.withColumns({"rule": matched(rules, h, p, lambda a, b, v: a + b), "ruled": matched(rules, h, p, lambda a, b, v: v)})
     # equal URLs are judged once
-    d = d.withColumn("s", normal(h, p))
-    urls = d.groupBy("s").agg(F.sum(F.when(F.col("ruled") == "allow", 1).otherwise(0)).alias("a"), F.sum(F.when(F.col("ruled") == "block", 1).otherwise(0)).alias("r"))
-    exploded = urls.select("s", "a", "r", F.explode(_grams(F.col("s"))).alias("gram"))
-    scores = gram_scores(exploded.groupBy("gram").agg(F.sum("a").alias("a"), F.sum("r").alias("r"))).persist()
+    d = d.withColumn("s", normal(h, p)).withColumn("u", F.md5("s"))  # a URL's name: its n-grams don't carry the URL
+    urls = d.groupBy("u").agg(F.first("s").alias("s"), F.sum(F.when(F.col("ruled") == "allow", 1).otherwise(0)).alias("a"), F.sum(F.when(F.col("ruled") == "block", 1).otherwise(0)).alias("r"))
+    urls = materialize(urls.withColumn("back", F.conv(F.substring("u", 1, 4), 16, 10).cast("int") % FOLDS == 0), "urls")
+    exploded = urls.select("u", "a", "r", "back", F.explode(_grams(F.col("s"))).alias("gram"))
+    counted = exploded.groupBy("gram").agg(*[F.sum(F.when(F.col("back"), 0).otherwise(F.col(c))).alias(c) for c in "ar"])
+    scores = materialize(gram_scores(counted), "gram-scores")
     if scores.count() <= BROADCAST_ROWS:
         scores = F.broadcast(scores)
-    rated = exploded.join(scores, "gram").groupBy("s", "a", "r").agg((F.sum("ratio") / F.count("*")).alias("score")).withColumn("score", F.round("score", 9))
-    rated = rated.persist()
+    rated = exploded.join(scores, "gram").groupBy("u", "a", "r", "back").agg((F.sum("ratio") / F.count("*")).alias("score")).withColumn("score", F.round("score", 9))
+    rated = materialize(rated, "url-scores")
+
+    def cut(rows: Column) -> Column:
+        def moments(n: str) -> tuple[Column, Column]:
+            w = F.when(rows, F.col(n)).otherwise(0)
+            mean = F.sum(w * F.col("score")) / F.sum(w)
+            return mean, F.sqrt(F.greatest(F.sum(w * F.col("score") * F.col("score")) / F.sum(w) - mean * mean, F.lit(0.0)))
 
-    def moments(n: str) -> tuple[Column, Column]:
-        mean = F.sum(F.col(n) * F.col("score")) / F.sum(n)
-        return mean, F.sqrt(F.greatest(F.sum(F.col(n) * F.col("score") * F.col("score")) / F.sum(n) - mean * mean, F.lit(0.0)))
+        (ma, sa), (mr, sr) = moments("a"), moments("r")
+        return F.when(sa + sr > 0, (ma * sr + mr * sa) / (sa + sr)).otherwise((ma + mr) / 2)
 
-    (ma, sa), (mr, sr) = moments("a"), moments("r")
-    cut = F.when((F.sum("a") > 0) & (F.sum("r") > 0), F.when(sa + sr > 0, (ma * sr + mr * sa) / (sa + sr)).otherwise((ma + mr) / 2))
-    threshold = rated.agg(F.round(cut, 9).alias("threshold"))  # one row
+    there = {x: F.max(F.when(F.col(x) > 0, F.col("back"))) for x in "ar"}  # null: no URL of the class; true: some held back
+    some, every = there["a"].isNotNull() & there["r"].isNotNull(), there["a"] & there["r"]
+    threshold = rated.agg(F.round(F.when(some, F.when(every, cut(F.col("back"))).otherwise(cut(F.lit(True)))), 9).alias("threshold"))  # one row
     verdict = F.when(F.col("threshold").isNull() | (F.col("score") >= F.col("threshold")), F.lit("allow")).otherwise(F.lit("block"))
-    out = d.join(rated.select("s", "score"), "s").crossJoin(F.broadcast(threshold))
+    out = d.drop("s").join(rated.select("u", "score"), "u").crossJoin(F.broadcast(threshold))
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", verdict).alias("verdict"), "score", "threshold")
