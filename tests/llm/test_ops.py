@@ -176,6 +176,27 @@ def test_decontamination(spark):
     assert decontaminate.leaks(d, b.limit(0)).count() == 0 and decontaminate.clean(d, b.limit(0)).count() == len(rows)
 
 
+@pytest.mark.parametrize("bits", [28, 16])
+def test_decontamination_with_a_large_benchmark(spark, docs, monkeypatch, bits):
+    """Joined seeds find the same rows as broadcast ones, with repeated rows, null ids and clashing columns."""
+    rng = random.Random(12)
+    texts = [t for t in made() if t and len(t.split()) > 40]
+    items = [(i, " ".join(t.split()[10:35])) for i, t in enumerate(texts[:12])] + [(3, None), (None, "none of these"), (77, ""), (78, "single"), (79, "日本")]
+    items += [(100 + i, " ".join(f"w{rng.randrange(300)}" for _ in range(20))) for i in range(40)] + items[:2]
+    d = clash(docs)
+    d = d.union(d.selectExpr("doc_id + 1000 as doc_id", "concat('single ', text) as text", *d.columns[2:]))
+    b = spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda: sorted(map(str, decontaminate.leaks(d, b).collect()))
+    kept = lambda: sorted(map(str, decontaminate.clean(d, b).collect()))
+    want, clean = rows(), kept()
+    assert len(want) > 24 and 0 < len(clean) < d.count()
+    monkeypatch.setattr(decontaminate, "ITEMS", 5)
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", bits)
+    assert rows() == want and kept() == clean
+    assert decontaminate.clean(d, b).columns == d.columns
+    assert decontaminate.leaks(empty(spark), b).count() == 0 and decontaminate.clean(empty(spark), b).count() == 0
+
+
 def test_alignment_against_table():
     rng = random.Random(2)
     for _ in range(30):
