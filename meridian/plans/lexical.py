@@ -156,13 +156,37 @@ def rrf_corpus(spark, d):
 def method_compare_corpus(spark, d):
     """The three best of each method over the corpus side by side, given term weights (sparse) included."""
     out = None
-    e = X.vectors(spark, d).select("id", F.posexplode(F.slice("vec", 1, 8)).alias("term", "w")).where("w > 0")
+    e = X.vectors(spark, d).select("id", F.posexplode("vec").alias("term", "w")).where("w > 0")
     for name, x in zip(("dense", "bm25", "rrf", "sparse"), (*_corpus_fused(spark, d), L.sparse_topk(e, e, 3)), strict=True):
         x = x.where("rank <= 3").select(F.lit(name).alias("method"), "query_id", "doc_id")
         out = x if out is None else out.union(x)
     return out
 
 
+@query()
+def configurations_lexical(spark, d):
+    """Dense, BM25, both fused, and given term weights: top 1, 3, 10 and the list's ceiling, into the pivot language."""
+    c = X.vectors(spark, d)
+    side = {name: c.where(cond).select("id", "vec") for name, cond in (("q", F.col("lang") != X.PIVOT), ("d", F.col("lang") == X.PIVOT))}
+    docs = X.corpus(spark, d).select("id", "lang", "text")
+    target = docs.where(F.col("lang") == X.PIVOT)
+    asked = L.postings(docs.where(F.col("lang") != X.PIVOT)).select("id", "term", F.col("tf").alias("w"))
+    weights = {name: x.select("id", F.posexplode("vec").alias("term", "w")).where("w > 0") for name, x in side.items()}
+    dense, bm25 = knn(side["q"], side["d"], 100), L.sparse_topk(asked, L.bm25_weights(L.postings(target), target), 100)
+    lists = {"dense": dense, "bm25": bm25, "rrf": L.rrf(dense, bm25).where("rank <= 100"), "sparse": L.sparse_topk(weights["q"], weights["d"], 100)}
+    all_ = None
+    for name, x in lists.items():
+        x = x.select(F.lit(name).alias("config"), "query_id", "doc_id", "rank")
+        all_ = x if all_ is None else all_.union(x)
+    a = c.select(F.col("id").alias("query_id"), F.col("concept").alias("a"), "lang")
+    hits = all_.join(a.drop("lang"), "query_id").join(a.select(F.col("query_id").alias("doc_id"), F.col("a").alias("b")), "doc_id").where("a = b")
+    first = hits.groupBy("config", "query_id").agg(F.min("rank").alias("r"))
+    queries = a.where(F.col("lang") != X.PIVOT).select("query_id", F.explode(F.array(*map(F.lit, lists))).alias("config"))
+    r = queries.join(first, ["config", "query_id"], "left")
+    at = [r4(F.avg((F.coalesce("r", F.lit(101)) <= k).cast("double"))).alias(n) for k, n in ((1, "top1"), (3, "top3"), (10, "top10"), (100, "ceiling"))]
+    return r.groupBy("config").agg(F.count("*").alias("n"), *at)
+
+
 @query(ctes(blocks(), "g as (select *, lower(trim(\"text\")) k, round(confidence * area, 9) s from blocks where confidence >= 0.30::double)") + "select scan_id, k \"key\", frame, pos, round(confidence, 4) confidence, round(area, 4) area, count(*) over (partition by scan_id, k) seen from g qualify row_number() over (partition by scan_id, k order by s desc, frame, pos) = 1")
 def best_readings(spark, d):
     """The best reading of each text over a scan's frames."""
@@ -196,11 +220,39 @@ def softmax_confidence(spark, d):
     return h.select("query_id", "doc_id", r4(F.col("p")).alias("p"), (F.col("p") >= C.CONFIDENT).alias("confident"))
 
 
+SPLIT = "'[^0-9a-z\u00c0-\u024f]+'"
+WORDS = f"list_distinct(list_filter(regexp_split_to_array(lower(%s), {SPLIT}), lambda x: length(x) > 2))"
+DIGIT = "regexp_matches(x, '[0-9]')"
 
 
-@query()
+def _until(parts: str, stop: str) -> str:
+    """The elements of a list before the first one that stop holds for."""
+    at = f"list_position(list_transform({parts}, lambda x: {stop}), true)"
+    return f"case when coalesce({at}, 0) > 0 then {parts}[1:{at} - 1] else {parts} end"
+
+
+HEAD = _until("parts", f"x = '' or {DIGIT}")
+SHORT = f"coalesce(nullif(array_to_string({_until('named', DIGIT)}, ' '), ''), brand)"
+
+
+@query(
+    ctes(
+        CORPUS, "s as (select *, lang part from corpus)", oknn("hits", "s", "s", 5), blocks(True),
+        "e as (select query_id, doc_id, \"rank\", exp((score - max(score) over (partition by query_id)) / 0.02::double) e from hits)",
+        "pr as (select *, e / sum(e) over (partition by query_id) p from e)",
+        f"nm as (select p_partkey doc_id, brand, regexp_split_to_array(lower(brand), {SPLIT}) parts, list_filter(regexp_split_to_array(brand, '\\s+'), lambda x: x <> '') named "
+        "from (select p_partkey, p_name || case when p_partkey % 2 = 0 then ' ' || p_size::varchar || ' mg' else '' end brand from part))",
+        f"nh as (select doc_id, brand, {SHORT} short, list_distinct(list_filter({HEAD}, lambda x: length(x) > 2)[1:3]) head, {WORDS % 'brand'} words from nm)",
+        "best as (select query_id, doc_id, p, brand, short, case when len(head) > 0 then head else words end want from pr join nh using (doc_id) where \"rank\" = 1)",
+        "second as (select query_id, brand brand2, short short2 from pr join nh using (doc_id) where \"rank\" = 2)",
+        f"ov as (select b.query_id, t.*, len(list_intersect(want, {WORDS % 't."text"'})) overlap from best b join blocks t on t.scan_id = b.query_id)",
+        "bl as (select * from ov qualify row_number() over (partition by query_id order by overlap desc, area desc, frame, pos) = 1)",
+    )
+    + "select query_id, doc_id, brand, short, round(p, 4) p, p >= 0.55::double confident, bl.\"text\" \"text\", case when overlap > 0 then 'name' else 'largest type' end located_by, "
+    "case when brand2 is not null then case when lower(short) = lower(short2) then brand2 else short2 end end runner_up from best join bl using (query_id) left join second using (query_id)"
+)
 def identify_product(spark, d):
-    """Which product a scan shows, where its name stands, how sure; checked on hand-made scans."""
+    """Which product a scan shows, where its name stands, how sure."""
     c = X.vectors(spark, d).withColumn("part", F.col("lang"))
     names = X.read(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" "), F.col("p_size").cast("string"), F.lit(" mg"))).otherwise(F.lit(""))).alias("brand"))
     return C.identify(X.blocks(spark, d, True), knn(c, c, C.CANDIDATES), names).withColumn("p", r4(F.col("p")))
@@ -221,10 +273,10 @@ def ocr_end_to_end(spark, d):
     return q.groupBy("blank").agg(F.count("*").alias("n"), *[r4(F.avg((~F.col("blank") & (F.coalesce("r", F.lit(99)) <= k)).cast("double"))).alias(f"top{k}") for k in (1, 5, 10)])
 
 
-@query(ctes(CORPUS, "e as (select id, concept, unnest(range(1, 9)) term, unnest(vec[1:8]) w from corpus)", "z as (select q.id query_id, x.id doc_id, round(sum(q.w * x.w), 9) score from e q join e x on q.term = x.term and q.concept = x.concept and q.id <> x.id where q.w > 0 and x.w > 0 group by 1, 2)") + "select query_id, doc_id, round(score, 4) score, row_number() over (partition by query_id order by score desc, doc_id)::bigint \"rank\" from z qualify \"rank\" <= 3")
+@query(ctes(CORPUS, "e as (select id, concept, unnest(range(1, 65)) term, unnest(vec) w from corpus)", "z as (select q.id query_id, x.id doc_id, round(sum(q.w * x.w), 9) score from e q join e x on q.term = x.term and q.concept = x.concept and q.id <> x.id where q.w > 0 and x.w > 0 group by 1, 2)") + "select query_id, doc_id, round(score, 4) score, row_number() over (partition by query_id order by score desc, doc_id)::bigint \"rank\" from z qualify \"rank\" <= 3")
 def sparse_dot(spark, d):
-    """Sparse vectors (the positive ones of eight weights) joined on shared terms within a concept."""
-    e = X.vectors(spark, d).select("id", "concept", F.posexplode(F.slice("vec", 1, 8)).alias("term", "w")).where("w > 0")
+    """Sparse vectors (the positive weights) joined on shared terms within a concept."""
+    e = X.vectors(spark, d).select("id", "concept", F.posexplode("vec").alias("term", "w")).where("w > 0")
     q = e.select(F.col("id").alias("query_id"), "concept", "term", F.col("w").alias("qw"))
     z = q.join(e.withColumnRenamed("id", "doc_id"), ["concept", "term"]).where("query_id <> doc_id").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qw") * F.col("w")), 9).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
@@ -233,8 +285,8 @@ def sparse_dot(spark, d):
 
 @query()
 def sparse_dot_all(spark, d):
-    """Sparse vectors (the positive ones of eight weights) against all others, whatever the concept; no SQL."""
-    e = X.vectors(spark, d).select("id", F.posexplode(F.slice("vec", 1, 8)).alias("term", "w")).where("w > 0")
+    """Sparse vectors (the positive weights) against all others, whatever the concept; no SQL."""
+    e = X.vectors(spark, d).select("id", F.posexplode("vec").alias("term", "w")).where("w > 0")
     z = e.select(F.col("id").alias("query_id"), "term", F.col("w").alias("qw")).join(e.withColumnRenamed("id", "doc_id"), "term").where("query_id <> doc_id")
     z = z.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qw") * F.col("w")), 9).alias("score"))
     return ranked(z, 3, ("query_id",)).select("query_id", "doc_id", r4(F.col("score")).alias("score"), F.col("rank").cast("long").alias("rank"))

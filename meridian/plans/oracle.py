@@ -85,10 +85,11 @@ TAX = (
 
 
 def blocks(whole: bool = False) -> str:
-    text = "t" if whole else "substring(split_part(t, ' ', 1), 1, 2)"
+    """Blocks of text: lines if whole, else all their words."""
+    pieces = "string_split(\"text\", chr(10))" if whole else "string_split(replace(\"text\", chr(10), ' '), ' ')"
     return (
-        f"blocks as (select conv_id scan_id, turn frame, pos, {text} \"text\", 0.20::double + ((conv_id * 31 + turn * 17 + pos * 7) % 80) / 100.0::double confidence, least(length(t), 400) / 2000.0::double area "
-        "from (select conv_id, turn, unnest(string_split(\"text\", chr(10))) t, generate_subscripts(string_split(\"text\", chr(10)), 1) pos from conversations))"
+        "blocks as (select conv_id scan_id, turn frame, pos, t \"text\", 0.20::double + ((conv_id * 31 + turn * 17 + pos * 7) % 80) / 100.0::double confidence, least(length(t), 400) / 2000.0::double area "
+        f"from (select conv_id, turn, unnest({pieces}) t, generate_subscripts({pieces}, 1) pos from conversations) {'' if whole else "where t <> ''"})"
     )
 
 

@@ -12,7 +12,7 @@ from ..operators.knn import knn
 from ..sources import fixtures as X
 from ..sources import readers as R
 from ..streaming import scan as S
-from .oracle import blocks, ctes, query
+from .oracle import CORPUS, blocks, ctes, knn as oknn, query
 
 r4 = M.r4
 
@@ -47,7 +47,19 @@ def poincare_training(spark, d):
     return out
 
 
-@query()
+#: A number to the nearest 16-bit float, ties to even: 11 binary digits, 2 ** -24 at least.
+HALF = "case when x = 0 then 0.0::double else round_even(x / pow(2, greatest(floor(log2(abs(x))), -14) - 10), 0) * pow(2, greatest(floor(log2(abs(x))), -14) - 10) end"
+
+
+@query(
+    ctes(
+        CORPUS, f"p as (select id, pos, x, {HALF} h from (select id, unnest(vec) x, generate_subscripts(vec, 1) pos from corpus))",
+        "w as (select id, '' part, list(x order by pos) x, list(h order by pos) h, max(abs(x - h)) drift from p group by id)",
+        "sa as (select id, part, x vec from w)", "sb as (select id, part, h vec from w)", oknn("ha", "sa", "sa", 10), oknn("hb", "sb", "sb", 10),
+        "j as (select query_id, len(list_intersect(list(ha.doc_id), list(hb.doc_id))) / 10.0::double o, bool_and(ha.doc_id = hb.doc_id) same from ha join hb using (query_id, \"rank\") group by 1)",
+    )
+    + "select count(*) n, round(avg(o), 4) overlap, round(avg(same::int), 4) same_order, (select max(drift) < 0.001 from w) drift_small, (select max(2 * len(h)) from w) \"bytes\" from j"
+)
 def half_precision(spark, d):
     """What a 16-bit export changes: the same ten neighbours, the same order, the largest drift."""
     c = X.vectors(spark, d).select("id", "vec")
@@ -63,18 +75,14 @@ def half_precision(spark, d):
 def streaming_best_readings(spark, d):
     """Best readings over a stream of frames; equal to the batch result."""
     raw = spark.readStream.schema(X.read(spark, d, "conversations").schema).parquet(f"{d}/conversations*.parquet")
-    c = raw.select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("p", "t"))
-    pos = F.col("p") + 1
-    conf = F.lit(0.20) + ((F.col("conv_id") * 31 + F.col("turn") * 17 + pos * 7) % 80) / 100.0
-    b = c.select(F.col("conv_id").alias("scan_id"), F.col("turn").alias("frame"), pos.cast("long").alias("pos"), F.substring(F.split_part("t", F.lit(" "), F.lit(1)), 1, 2).alias("text"), conf.alias("confidence"), (F.least(F.length("t"), F.lit(400)) / 2000.0).alias("area"))
-    return S.drained(S.best_readings(b), "complete", "meridian_best_readings").select("scan_id", "key", "frame", "pos", "seen")
+    return S.drained(S.best_readings(X.text_blocks(raw)), "complete", "meridian_best_readings").select("scan_id", "key", "frame", "pos", "seen")
 
 
-@query("select lower(split_part(\"text\", ' ', 1)) brand, role registry, count(*) times from conversations group by 1, 2")
+@query("select lower(w) brand, role registry, count(*) times from (select role, unnest(string_split(replace(\"text\", chr(10), ' '), ' ')) w from conversations) where w <> '' group by 1, 2")
 def streaming_scan_memory(spark, d):
-    """Distinct products by how often they were scanned."""
+    """Distinct products (here: words) by how often they were scanned."""
     raw = spark.readStream.schema(X.read(spark, d, "conversations").schema).parquet(f"{d}/conversations*.parquet")
-    s = raw.select(F.lower(F.split_part("text", F.lit(" "), F.lit(1))).alias("brand"), F.col("role").alias("registry"))
+    s = raw.select(F.explode(F.split(F.lower("text"), "[\n ]")).alias("brand"), F.col("role").alias("registry")).where("brand <> ''")
     return S.drained(S.scan_memory(s), "complete", "meridian_scan_memory")
 
 

@@ -79,13 +79,18 @@ def ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("k", F.tanh(0.15 * (1 + F.col("label")) + F.col("n")) / F.col("n")).select("vec_id", "label", V.scaled("v5", F.col("k")).alias("x"))
 
 
-def blocks(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """scan_id, frame, pos, text, confidence, area: OCR-like text blocks."""
-    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("p", "t"))
+def text_blocks(conversations: DataFrame, whole: bool = False) -> DataFrame:
+    """scan_id, frame, pos, text, confidence, area: OCR-like blocks, lines if whole, else all their words."""
+    pieces = F.split("text", "\n" if whole else "[\n ]")
+    c = conversations.select("conv_id", "turn", F.posexplode(pieces).alias("p", "t"))
+    c = c if whole else c.where("t <> ''")
     pos = F.col("p") + 1
-    text = F.col("t") if whole else F.substring(F.split_part("t", F.lit(" "), F.lit(1)), 1, 2)
     conf = F.lit(0.20) + ((F.col("conv_id") * 31 + F.col("turn") * 17 + pos * 7) % 80) / 100.0
-    return c.select(F.col("conv_id").alias("scan_id"), F.col("turn").alias("frame"), pos.cast("long").alias("pos"), text.alias("text"), conf.alias("confidence"), (F.least(F.length("t"), F.lit(400)) / 2000.0).alias("area"))
+    return c.select(F.col("conv_id").alias("scan_id"), F.col("turn").alias("frame"), pos.cast("long").alias("pos"), F.col("t").alias("text"), conf.alias("confidence"), (F.least(F.length("t"), F.lit(400)) / 2000.0).alias("area"))
+
+
+def blocks(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return text_blocks(read(spark, sf_dir, "conversations"), whole)
 
 
 def photos(spark: SparkSession, sf_dir: str) -> DataFrame:

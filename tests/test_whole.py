@@ -76,7 +76,7 @@ def test_maxsim_whatever_the_label(spark, vectors):
 def test_sparse_dot_whatever_the_concept(spark, vectors, corpus):
     ids, v, label = vectors
     keep = [i for i, k in enumerate(ids.tolist()) if k in corpus]
-    p = np.maximum(v[keep][:, :8], 0)
+    p = np.maximum(v[keep], 0)
     s = p @ p.T
     np.fill_diagonal(s, 0)
     got = collections.defaultdict(list)
@@ -88,6 +88,36 @@ def test_sparse_dot_whatever_the_concept(spark, vectors, corpus):
     assert any(other for x in got.values() for _, other in x)
 
 
+def test_lexical_configurations(spark, vectors, corpus):
+    """Top 1, 3, 10 of every list into the pivot language, from ranks worked out here."""
+    ids, v, label = vectors
+    at = {k: i for i, k in enumerate(ids.tolist())}
+    target = [i for i, (lang, _) in corpus.items() if lang == "en"]
+    df = collections.Counter(t for i in target for t in corpus[i][1])
+    mean = sum(sum(corpus[i][1].values()) for i in target) / len(target)
+    w = {i: {t: math.log(1 + (len(target) - df[t] + 0.5) / (df[t] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * sum(corpus[i][1].values()) / mean)) for t, f in corpus[i][1].items()} for i in target}
+    firsts = collections.defaultdict(list)
+    for q in (i for i, (lang, _) in corpus.items() if lang != "en"):
+        scores = {
+            "dense": {i: round(float(v[at[q]] @ v[at[i]]), 9) for i in target},
+            "bm25": {i: round(sum(f * w[i].get(t, 0.0) for t, f in corpus[q][1].items()), 7) for i in target if corpus[q][1].keys() & w[i].keys()},
+            "sparse": {i: round(float(np.maximum(v[at[q]], 0) @ np.maximum(v[at[i]], 0)), 7) for i in target},
+        }
+        order = {k: sorted((i for i in x if k != "sparse" or x[i] > 0), key=lambda i: (-x[i], i))[:100] for k, x in scores.items()}
+        both = collections.Counter()
+        for k in ("dense", "bm25"):
+            for r, i in enumerate(order[k], 1):
+                both[i] += 1 / (60 + r)
+        order["rrf"] = sorted(both, key=lambda i: (-round(both[i], 12), i))[:100]
+        for k, x in order.items():
+            firsts[k].append(next((r for r, i in enumerate(x, 1) if label[i] == label[q]), 101))
+    got = {r.config: r for r in run(spark, "configurations_lexical")}
+    assert got.keys() == firsts.keys()
+    for k, x in firsts.items():
+        assert got[k].n == len(x)
+        assert (got[k].top1, got[k].top3, got[k].top10, got[k].ceiling) == pytest.approx([np.mean(np.array(x) <= n) for n in (1, 3, 10, 100)], abs=2 / len(x) + 1e-4)
+
+
 def test_endpoints(spark):
     """Each endpoint is a selection of what the registered query gives."""
     from meridian.plans import endpoints as E
