@@ -232,12 +232,19 @@ def hub_precision(spark, d):
     return ap.join(n.select(F.col("id").alias("query_id"), "code"), "query_id").orderBy(F.col("npos").desc(), "code").limit(5).select("code", F.col("npos").alias("n_descendants"), r4(F.col("ap")).alias("ap"))
 
 
-@query(ctes(*TREE_BALL) + "select code, \"level\"::int \"level\", parent, (select count(*) from tree x where x.parent = nodes.code) n_children, round(vec[1], 5) + 0.0 x, round(vec[2], 5) + 0.0 y, round(2 * atanh(least(sqrt(list_inner_product(vec, vec)), 1 - 1e-12)), 3) radius from nodes order by code limit 600")
+@query(
+    ctes(*TREE_BALL)
+    + "select code, \"level\"::int \"level\", parent, (select count(*) from tree x where x.parent = nodes.code) n_children, round(vec[1], 5) + 0.0 x, round(vec[2], 5) + 0.0 y, "
+    "round(embedding[1]::double, 5) + 0.0 flat_x, round(embedding[2]::double, 5) + 0.0 flat_y, round(2 * atanh(least(sqrt(list_inner_product(vec, vec)), 1 - 1e-12)), 3) radius "
+    "from nodes join embeddings on vec_id = id order by code limit 600"
+)
 def tree_geometry(spark, d):
-    """Nodes with children, coordinates and radius, in code order, up to 600."""
+    """Nodes with children, coordinates in the ball and in the flat space, and radius, in code order, up to 600."""
     kids = X.tree(spark, d).where("parent is not null").groupBy(F.col("parent").alias("code")).agg(F.count("*").alias("n_children"))
     n = _nodes(spark, d).join(kids, "code", "left").fillna(0, ["n_children"]).orderBy("code").limit(600)
-    return n.select("code", "level", "parent", "n_children", (F.round(F.get("vec", F.lit(0)), 5) + 0.0).alias("x"), (F.round(F.get("vec", F.lit(1)), 5) + 0.0).alias("y"), F.round(V.radius(V.norm("vec")), 3).alias("radius"))
+    flat = X.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in ((0, "flat_x"), (1, "flat_y"))])
+    at = {"x": F.get("vec", F.lit(0)), "y": F.get("vec", F.lit(1)), "flat_x": F.col("flat_x"), "flat_y": F.col("flat_y")}
+    return n.join(flat, "id").select("code", "level", "parent", "n_children", *[(F.round(v, 5) + 0.0).alias(k) for k, v in at.items()], F.round(V.radius(V.norm("vec")), 3).alias("radius"))
 
 
 @query(
