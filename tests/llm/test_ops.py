@@ -197,6 +197,30 @@ def test_decontamination_with_a_large_benchmark(spark, docs, monkeypatch, bits):
     assert decontaminate.leaks(empty(spark), b).count() == 0 and decontaminate.clean(empty(spark), b).count() == 0
 
 
+def test_decontamination_against_every_alignment(spark):
+    """All pairs aligned in full: what is found, and its score, equals what scores enough."""
+    rng = random.Random(31)
+    voc = [f"v{i}" for i in range(400)]
+    items = [[rng.choice(voc) for _ in range(rng.randrange(8, 40))] for _ in range(25)]
+    texts = []
+    for k in range(120):
+        text = [rng.choice(voc) for _ in range(rng.randrange(20, 150))]
+        if k % 2:
+            part = list(rng.choice(items))
+            for _ in range(rng.randrange(len(part) // 2)):
+                part[rng.randrange(len(part))] = rng.choice(voc)
+            at = rng.randrange(len(text))
+            text[at:at] = part[: rng.randrange(len(part) // 2, len(part) + 1)]
+        texts.append(text)
+    code = {w: i + 1 for i, w in enumerate(voc)}
+    number = lambda words: np.array([code[w] for w in words])
+    score = {(i, k): round(decontaminate.align(number(item), number(text))[0], 6) for i, text in enumerate(texts) for k, item in enumerate(items)}
+    d = spark.createDataFrame([(i, " ".join(t), "", "", 0) for i, t in enumerate(texts)], SCHEMA)
+    b = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.leaks(d, b).collect()}
+    assert got == {k: x for k, x in score.items() if x >= decontaminate.MIN_SCORE} and len(got) > 30
+
+
 def test_alignment_against_table():
     rng = random.Random(2)
     for _ in range(30):
@@ -394,6 +418,22 @@ def test_sharding(spark, docs, texts):
     assert sharding.assign(empty(spark), 6).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 6, 24])
+def test_sharding_against_one_sorted_list(spark, docs, n):
+    """Every row's shard and slot from one sort and running total in Python; hot texts, repeated rows, null ids."""
+    d = clash(docs).select("doc_id", "text")
+    d = d.union(spark.createDataFrame([(i, "hot text " * 5) for i in range(500, 900)], "doc_id long, text string"))
+    rows = sorted(sharding.keyed(d).collect(), key=lambda r: (r.k1, r.k2, r.size, r.text_crc32))
+    total, run, slots, want = sum(r.size for r in rows), 0, collections.Counter(), []
+    for r in rows:
+        run += r.size
+        shard = min(n - 1, int((run - r.size / 2) * n / total))
+        want.append((r.doc_id, r.size, r.text_crc32, shard, slots[shard]))
+        slots[shard] += 1
+    got = [(r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in sharding.assign(d, n).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_shards_are_written_as_assigned(spark, docs, tmp_path):
     """Folders equal op9's shard, rows are whole, and columns named like ours survive."""
     d = docs.union(spark.createDataFrame([(i, "hot text " * 5, "", "", 0) for i in range(500, 800)], SCHEMA)).union(docs.where("doc_id < 3"))
