@@ -108,9 +108,9 @@ def ancestor_closure(spark, d):
 
 @query("with recursive " + TAX + ", e as (select t.id, p.id par from tax t join tax p on p.full_path = array_to_string(t.parts[1:-2], ' > ')), r as (select id, par anc, 1 steps from e union all select r.id, e.par, steps + 1 from r join e on e.id = r.anc) select id, anc, steps::int steps from r")
 def recursive_closure(spark, d):
-    """The same closure by a recursive common table expression over parent links."""
+    """The same closure by a recursive common table expression over parent links; all rows, however many, and levels (Spark's own bounds are 1,000,000 and 100)."""
     taxonomy_links(spark, d).where("parent is not null").select("id", F.col("parent").alias("par")).createOrReplaceTempView("meridian_parent_links")
-    return spark.sql("with recursive r(id, anc, steps) as (select id, par, 1 from meridian_parent_links union all select r.id, e.par, steps + 1 from r join meridian_parent_links e on e.id = r.anc) select id, anc, steps from r")
+    return spark.sql("with recursive r(id, anc, steps) max recursion level 1000000 as (select id, par, 1 from meridian_parent_links union all select r.id, e.par, steps + 1 from r join meridian_parent_links e on e.id = r.anc) select id, anc, steps from r limit all")
 
 
 @query(ctes(TAX) + "select count(*) nodes, max(depth)::int max_depth, sum((depth = 0)::int)::bigint roots, (select count(*) from tax t join tax p on starts_with(t.full_path, p.full_path || ' > ')) closure from tax")
