@@ -58,9 +58,14 @@ def evidence(texts: DataFrame, df: DataFrame, n: DataFrame, top: int = 6) -> Dat
     return hit.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
+def words(text: str) -> Column:
+    """The lower-case words of three letters or more, in order."""
+    return F.regexp_extract_all(F.lower(text), F.lit("\\p{L}{3,}"), F.lit(0))
+
+
 def postings(docs: DataFrame) -> DataFrame:
     """id, term, tf, len."""
-    t = docs.select("id", F.regexp_extract_all(F.lower("text"), F.lit("\\p{L}{3,}"), F.lit(0)).alias("t"))
+    t = docs.select("id", words("text").alias("t"))
     t = t.select("id", F.size("t").alias("len"), F.explode("t").alias("term"))
     return t.groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
 
