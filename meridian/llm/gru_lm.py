@@ -6,9 +6,9 @@ other seen word belongs to a tail class and has its share of the class's count;
 the words seen at most once and the one unknown word, whose share follows Good and Turing.  The
 probabilities of all seen words and the unknown word add up to 1 at every place.
 
-Counts, frequent words, tail classes and rare shares come from all training documents.  The network
-(numpy, truncated backpropagation, Adam) is fitted on one in SHARE of them, chosen by a hash of the id, so
-what it learns from grows with the input (README: what each share buys).  Their codes are dealt over
+Counts, frequent words, tail classes and rare shares come from all training documents, and the network
+(numpy, truncated backpropagation, Adam) is fitted on all of them too, each once (SHARE is 1; README: what
+a share buys, and what all cost).  Their codes are dealt over
 ROUNDS rounds of tasks of about TASK_TOKENS; each task goes on from the round's common network, and the
 round's networks are averaged by their tokens.  One task's codes start the network where there are several.
 Scoring carries the state across windows from a document's first word to its end token, so it is the
@@ -47,8 +47,8 @@ CLASSES = 48
 ENDINGS = 16
 HIDDEN, EMBED = 32, 24
 STREAMS, STEPS, EPOCHS, RATE = 256, 16, 1, 0.012
-#: One in so many training documents trains the network, in so many rounds of averaging.
-SHARE, ROUNDS = 6, 2
+#: One in so many training documents trains the network (all), in so many rounds of averaging.
+SHARE, ROUNDS = 1, 2
 SMOOTH = 0.1
 
 
