@@ -30,13 +30,13 @@ def offsets(docs: DataFrame, pivot: str, vec: str = "vec", aligned: DataFrame |
     return m.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda z: z["m"]).alias("off"))
 
 
-def apply(docs: DataFrame, offs: DataFrame, alpha, vec: str = "vec", renormalise: bool = True, dim: int | None = None) -> DataFrame:
+def apply(docs: DataFrame, offs: DataFrame, alpha, vec: str = "vec", renormalise: bool = True, cut: bool = False) -> DataFrame:
     """vec - alpha off, of unit length; rows without an offset stay as they are.
 
-    dim: the offset is cut to the vector's leading numbers, without renormalising it.
+    cut: the offset is cut to the length of each row's vector, without renormalising it.
     """
-    o = offs.select("lang", F.slice("off", 1, dim).alias("off") if dim else "off")
-    d = docs.join(F.broadcast(o), "lang", "left")  # a row a language
+    d = docs.join(F.broadcast(offs.select("lang", "off")), "lang", "left")  # a row a language
+    d = d.withColumn("off", F.slice("off", 1, F.size(vec))) if cut else d
     a = alpha if not isinstance(alpha, (int, float)) else F.lit(float(alpha))
     moved = V.added(vec, "off", -a)
     d = V.normalised(d, "_moved", moved) if renormalise else d.withColumn("_moved", moved)

@@ -158,3 +158,16 @@ def test_knn_by_any_blocking(spark):
                         assert [got[ids[q]][r] for r in sorted(got[ids[q]])] == [ids[j] for j in order], (metric, k)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_the_sweep_of_lengths_is_one_plan(spark):
+    from meridian.operators import shift
+    from meridian.plans import retrieval
+    from meridian.sources import fixtures
+
+    c = fixtures.vectors(spark, SF)
+    parts = retrieval._cut_and_shifted(c, shift.offsets(c, fixtures.PIVOT))
+    plan = retrieval.matryoshka_sweep(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    # the two inputs of the lists, and the judging of hits: a scan for each of eight parts and sides would be over 100
+    assert plan.count("Relation [") < 20 and plan.count("MapInArrow") == 1
+    assert {tuple(r) for r in parts.groupBy("part").count().collect()} == {(f"{o}{n}", c.count()) for o in ("shift_first", "truncate_first") for n in (64, 32, 16, 8)}
