@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, coded, discard, hashed, id_and_text, materialize, mix, pack, slices, unpack, words_of
+from .common import SLICE_BYTES, coded, discard, estimated_bytes, hashed, id_and_text, materialize, mix, pack, slices, unpack, words_of
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -43,6 +43,8 @@ RECALL = 0.999
 AGREE = 0.5
 #: Sets, and bytes of their shingles, in a block of a family, about.
 BLOCK, BLOCK_BYTES = 512, 8 << 20
+#: Bytes of a written table of nodes' minima up to which it is broadcast.
+FEW_BYTES = 1 << 20
 
 
 def runs_for(recall: float = RECALL, threshold: float = THRESHOLD, depth: int = DEPTH) -> int:
@@ -177,26 +179,29 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     Large-star and small-star steps in turn; each halves the distances, so a few rounds do.  The centre of
     a large component has many edges: minima are aggregated before the shuffle and written first, so that
     the join with the edges is plain and Spark's skew handling can split a centre's edges over tasks.
+    Minima of few nodes are broadcast, which leaves the edges where they are.  Edges lead to the lesser
+    node, so a round that leaves stars only is the last.
     """
 
-    def digest(t: DataFrame):
-        return tuple(t.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+    def few(t: DataFrame) -> DataFrame:
+        return F.broadcast(t) if 0 < estimated_bytes(t) <= FEW_BYTES else t
 
     edges = materialize(links.where(F.col("u") != F.col("v")).distinct(), name)
-    state = digest(edges)
     while True:
         # large star: larger neighbours of a node are hung on its least neighbour
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), name)
-        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        down = materialize(large.distinct(), name)
+        large = both.where(F.col("v") > F.col("u")).join(few(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        down = materialize(large, name)  # at most a row for each edge
         # small star: a node's smaller neighbours are hung on the least of them
         low = materialize(down.groupBy("u").agg(F.min("v").alias("m")), name)
-        small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v"))
+        small = down.join(few(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v"))
         new = materialize(small.union(low.select("u", F.col("m").alias("v"))).distinct(), name)
         discard(edges, least, down, low)
-        edges, before, state = new, state, digest(new)
-        if state == before:
+        edges = new
+        ends = new.select(F.inline(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))))
+        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.count("*").alias("n"))
+        if not ends.where((F.col("up") > 1) | ((F.col("up") == 1) & (F.col("n") > 1))).agg(F.count("*")).first()[0]:
             roots = new.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
             return new.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
 

@@ -152,6 +152,30 @@ def test_jaccard_large_group(spark, monkeypatch):
     assert got == {k: (cls[k], len(link[k])) for k in t}
 
 
+def test_components_stop_at_stars(spark, monkeypatch):
+    made, write = [], jaccard_join.materialize
+    monkeypatch.setattr(jaccard_join, "materialize", lambda df, name: made.append(name) or write(df, name))
+
+    def found(links):
+        rows = spark.createDataFrame([(f"{a:04}".encode(), f"{b:04}".encode()) for a, b in links], "u binary, v binary")
+        made.clear()
+        return {int(r.node): int(r.root) for r in jaccard_join.components(rows).collect()}
+
+    assert found([(k, 0) for k in range(1, 40)]) == dict.fromkeys(range(40), 0)
+    assert len(made) == 5  # one round: a second one only to see that nothing changes would make 9
+    rng = np.random.default_rng(3)
+    order = rng.permutation(60).tolist()
+    chain = [(order[k], order[k + 1]) for k in range(59) if k % 20 != 19] + [(100 + a, 100 + b) for a, b in rng.integers(0, 30, (25, 2)).tolist()]
+    want = {k: k for e in chain for k in e if e[0] != e[1]}
+    for _ in want:
+        for a, b in chain:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    assert found(chain) == want
+    monkeypatch.setattr(jaccard_join, "FEW_BYTES", 0)  # plain joins
+    assert found(chain) == want and found([]) == {}
+
+
 def test_jaccard_runs():
     assert jaccard_join.runs_for(0.999) > jaccard_join.runs_for(0.9) >= 1
 
