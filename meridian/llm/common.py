@@ -81,6 +81,13 @@ def release() -> None:
         trim(0)
 
 
+def keep_pages() -> None:
+    """Keep freed memory of a few MB for the next array until release(): numpy's temporaries else go back to the system one by one, and each page's first touch costs."""
+    if opt := getattr(ctypes.CDLL(None), "mallopt", None):  # glibc only
+        opt(-3, 32 << 20)  # M_MMAP_THRESHOLD
+        opt(-1, 128 << 20)  # M_TRIM_THRESHOLD
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a piece holds at most max_bytes of text, or one row."""
     for batch in batches:

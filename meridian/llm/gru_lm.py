@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import coded, id_and_text, materialize, pack, release, train_rows, unpack, words_of
+from .common import coded, id_and_text, keep_pages, materialize, pack, ranges, release, train_rows, unpack, words_of
 
 END = "\n"
 #: Tokens that a training task holds, and that a row of training codes holds at least (or all of a block).
@@ -54,6 +54,7 @@ SMOOTH = 0.1
 
 def split(text: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Lower-cased (A to Z) words of each text and one end token after them."""
+    keep_pages()
     flat, counts = words_of(pc.ascii_lower(text))
     codes, words = coded(flat)
     words = pa.concat_arrays([words, pa.array([END], words.type)])
@@ -77,6 +78,13 @@ class Network:
         self.first = np.cumsum([0, *sizes])[:-1]
         self.class_of = np.concatenate([np.repeat(np.arange(len(sizes)), sizes), len(sizes) + np.arange(ENDINGS), np.full(ENDINGS, len(sizes) + ENDINGS)]).astype(np.int64)
         self.n_classes, self.n_top = len(sizes) + ENDINGS + 1, n
+        # classes of about the same size are worked on together: their numbers, their words (filled up to the largest), which of these are real
+        self.groups, wide = [], [k for k in sorted(range(len(sizes)), key=lambda k: sizes[k]) if sizes[k] > 1]  # the only word of its class is certain
+        while wide:
+            some = [k for k in wide if sizes[k] <= 2 * sizes[wide[0]]]
+            wide, at = wide[len(some) :], np.arange(sizes[some[-1]])
+            real = at < np.array([sizes[k] for k in some])[:, None]
+            self.groups.append((np.array(some), np.where(real, self.first[some][:, None] + at, 0), real))
         f = np.float32
 
         def normal(*shape):
@@ -91,23 +99,37 @@ class Network:
         if self.n_top:
             self.p["w"][:] = np.log(counts[: self.n_top] + 0.5)
 
-    def states(self, x: np.ndarray, h: np.ndarray, fresh: np.ndarray | None = None, keep: list | None = None) -> np.ndarray:
-        """States before each token of x (steps, streams); fresh marks tokens that begin a document."""
-        p, H = self.p, HIDDEN
-        gx = (p["E"] @ p["Wx"] + p["b"])
+    def inputs(self) -> np.ndarray:
+        """What each code adds to the gates."""
+        return self.p["E"] @ self.p["Wx"] + self.p["b"]
+
+    def states(self, x: np.ndarray, h: np.ndarray, fresh: np.ndarray | None = None, keep: dict | None = None, gx: np.ndarray | None = None) -> np.ndarray:
+        """States before each token of x (steps, streams); fresh marks tokens that begin a document; gx: inputs(), if at hand."""
+        H, wh = HIDDEN, self.p["Wh"]
+        gx = self.inputs() if gx is None else gx
         out = np.empty((*x.shape, H), h.dtype)
+        gates, news, us = (np.empty((*x.shape, n), h.dtype) for n in (2 * H, H, H)) if keep is not None else (None, None, None)
         for t in range(len(x)):
-            if fresh is not None:
+            if fresh is not None and fresh[t].any():
                 h = h * (1 - fresh[t])[:, None]
             out[t] = h
-            a = gx[x[t]]
-            u = h @ p["Wh"]
-            zr = 1 / (1 + np.exp(-(a[:, : 2 * H] + u[:, : 2 * H])))
-            z, r = zr[:, :H], zr[:, H:]
-            n = np.tanh(a[:, 2 * H :] + r * u[:, 2 * H :])
-            if keep is not None:
-                keep.append((h, z, r, n, u[:, 2 * H :]))
-            h = n + z * (h - n)
+            a = np.take(gx, x[t], axis=0)
+            u = h @ wh
+            zr = np.add(a[:, : 2 * H], u[:, : 2 * H], out=None if gates is None else gates[t])
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            n = np.multiply(zr[:, H:], u[:, 2 * H :], out=None if news is None else news[t])
+            n += a[:, 2 * H :]
+            np.tanh(n, out=n)
+            if us is not None:
+                us[t] = u[:, 2 * H :]
+            h = h - n
+            h *= zr[:, :H]
+            h += n
+        if keep is not None:
+            keep |= {"gates": gates, "new": news, "u": us}
         self.last = h
         return out
 
@@ -115,65 +137,93 @@ class Network:
         """Natural log probability of each target code (a tail code: of its class); with gradients of the sum."""
         p = self.p
         cls = self.class_of[y]
-        a = s @ p["C"] + p["c"]
-        a -= a.max(1, keepdims=True)
-        e = np.exp(a)
-        z = e.sum(1, keepdims=True)
-        at = np.arange(len(y))
-        out = a[at, cls] - np.log(z[:, 0])
+        # rows in the order of classes, so that each class is a run of them
+        order = np.argsort(cls.astype(np.uint16), kind="stable")
+        edge = np.searchsorted(cls[order], np.arange(len(self.sizes) + 1))
+        s, y, cls = s[order], y[order], cls[order]
+        e = s @ p["C"]
+        e += p["c"]
+        rows = np.arange(len(y))
+        if e.size and not -60 < e.min() <= e.max() < 60:
+            e -= e.max(1, keepdims=True)
+        got = e[rows, cls]
+        np.exp(e, out=e)
+        z = e @ np.ones(e.shape[1], e.dtype)
+        got -= np.log(z)
         ds = g = None
         if grad:
-            d = -(e / z)
-            d[at, cls] += 1
-            g = {"C": s.T @ d, "c": d.sum(0), "W": np.zeros_like(p["W"]), "w": np.zeros_like(p["w"])}
-            ds = d @ p["C"].T
-        order = np.argsort(cls, kind="stable")
-        edge = np.searchsorted(cls[order], np.arange(len(self.sizes) + 1))
-        for k in range(len(self.sizes)):
-            i = order[edge[k] : edge[k + 1]]
-            if not len(i):
+            e *= (-1 / z)[:, None]
+            e[rows, cls] += 1
+            g = {"C": s.T @ e, "c": e.sum(0), "w": np.zeros_like(p["w"])}
+            ds = e @ p["C"].T
+        words = np.ascontiguousarray(p["W"].T)
+        gw = np.zeros_like(words)
+        for k, cols, real in self.groups:
+            n = edge[k + 1] - edge[k]
+            at = edge[k][:, None] + np.arange(n.max())
+            use = at < edge[k + 1][:, None]
+            if not use.any():
                 continue
-            lo, hi = self.first[k], self.first[k] + self.sizes[k]
-            a = s[i] @ p["W"][:, lo:hi] + p["w"][lo:hi]
-            a -= a.max(1, keepdims=True)
-            e = np.exp(a)
-            z = e.sum(1, keepdims=True)
-            j = y[i] - lo
-            out[i] += a[np.arange(len(i)), j] - np.log(z[:, 0])
+            i, at = at[use], np.minimum(at, len(y) - 1)
+            w, own = words[cols], s[at]
+            e = own @ w.transpose(0, 2, 1)
+            e += np.where(real, p["w"][cols], e.dtype.type(-1e9))[:, None]
+            e -= e.max(2, keepdims=True)
+            j = np.where(use, y[at] - self.first[k][:, None], 0)[:, :, None]
+            hit = np.take_along_axis(e, j, 2)[:, :, 0]
+            np.exp(e, out=e)
+            z = e @ np.ones(e.shape[2], e.dtype)
+            got[i] += (hit - np.log(z))[use]
             if grad:
-                d = -(e / z)
-                d[np.arange(len(i)), j] += 1
-                g["W"][:, lo:hi] = s[i].T @ d
-                g["w"][lo:hi] = d.sum(0)
-                ds[i] += d @ p["W"][:, lo:hi].T
-        return (out, ds, g) if grad else out
+                e *= np.where(use, -1 / z, 0)[:, :, None].astype(e.dtype)
+                np.put_along_axis(e, j, np.take_along_axis(e, j, 2) + use[:, :, None], 2)
+                gw[cols[real]] = (e.transpose(0, 2, 1) @ own)[real]
+                g["w"][cols[real]] = e.sum(1)[real]
+                ds[i] += (e @ w)[use]
+        if grad:
+            g["W"] = gw.T
+        out = np.empty_like(got)
+        out[order] = got
+        if not grad:
+            return out
+        back = np.empty_like(ds)
+        back[order] = ds
+        return out, back, g
 
     def gradients(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> dict[str, np.ndarray]:
         """Gradients of the sum of log probabilities of y over a window that begins in state h."""
         p, H = self.p, HIDDEN
-        keep: list = []
+        keep: dict = {}
         s = self.states(x, h, fresh, keep)
         _, ds, g = self.logs(s.reshape(-1, H), y.ravel(), True)
         ds = ds.reshape(s.shape)
-        ga = np.empty((len(x), x.shape[1], 3 * H), s.dtype)
-        g["Wh"] = np.zeros_like(p["Wh"])
-        dh = np.zeros_like(h)
+        z, r, n = keep["gates"][:, :, :H], keep["gates"][:, :, H:], keep["new"]
+        # what a state's gradient is multiplied by on its way to each gate
+        to_n = (1 - z) * (1 - n * n)
+        to_r = keep["u"] * r * (1 - r)
+        to_z = (s - n) * z * (1 - z)
+        ga, du = (np.empty((*x.shape, 3 * H), s.dtype) for _ in range(2))
+        dh, wh = np.zeros_like(h), np.ascontiguousarray(p["Wh"].T)
         for t in range(len(x) - 1, -1, -1):
-            hp, z, r, n, un = keep[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dr = dn * un * r * (1 - r)
-            ga[t, :, :H], ga[t, :, H : 2 * H], ga[t, :, 2 * H :] = dh * (hp - n) * z * (1 - z), dr, dn
-            du = ga[t].copy()
-            du[:, 2 * H :] *= r
-            g["Wh"] += hp.T @ du
-            dh = (dh * z + du @ p["Wh"].T + ds[t]) * (1 - fresh[t])[:, None]
-        # the inputs are rows of E @ Wx + b: sum their gradients by code first
+            a, d = ga[t], du[t]
+            dn = np.multiply(dh, to_n[t], out=a[:, 2 * H :])
+            np.multiply(dn, to_r[t], out=a[:, H : 2 * H])
+            np.multiply(dh, to_z[t], out=a[:, :H])
+            d[:, : 2 * H] = a[:, : 2 * H]
+            np.multiply(dn, r[t], out=d[:, 2 * H :])
+            dh *= z[t]
+            dh += d @ wh
+            dh += ds[t]
+            if fresh[t].any():
+                dh *= (1 - fresh[t])[:, None]
+        g["Wh"] = s.reshape(-1, H).T @ du.reshape(-1, 3 * H)
+        # the inputs are rows of E @ Wx + b: sum their gradients by code
         flat, codes = ga.reshape(-1, 3 * H), x.ravel()
-        order = np.argsort(codes, kind="stable")
-        seen, at = np.unique(codes[order], return_index=True)
-        row = np.add.reduceat(flat[order], at, axis=0)
-        g["b"], g["Wx"], g["E"] = row.sum(0), p["E"][seen].T @ row, np.zeros_like(p["E"])
-        g["E"][seen] = row @ p["Wx"].T
+        order = np.argsort(codes.astype(np.uint16), kind="stable")
+        sorted_ = codes[order]
+        at = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
+        g["b"], g["Wx"], g["E"] = flat.sum(0), p["E"][codes].T @ flat, np.zeros_like(p["E"])
+        g["E"][sorted_[at]] = np.add.reduceat((flat @ p["Wx"].T)[order], at, axis=0)
         return g
 
     def train(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, last: float = 0.0) -> None:
@@ -181,9 +231,11 @@ class Network:
 
         Adam; the rate falls from rate to last.
         """
-        p = self.p
-        m = {k: np.zeros_like(v) for k, v in p.items()}
-        v2 = {k: np.zeros_like(v) for k, v in p.items()}
+        shape = [(k, v.shape) for k, v in self.p.items()]
+        flat = np.concatenate([v.ravel() for v in self.p.values()])  # all weights as one vector, of which p has views
+        cuts = np.cumsum([v.size for v in self.p.values()])[:-1]
+        self.p = {k: v.reshape(n) for (k, n), v in zip(shape, np.split(flat, cuts), strict=True)}
+        m, v2 = np.zeros_like(flat), np.zeros_like(flat)
         step, total = 0, epochs * -(-len(x) // STEPS)
         for _ in range(epochs):
             h = np.zeros((x.shape[1], HIDDEN), np.float32)
@@ -193,14 +245,21 @@ class Network:
                 h = self.last
                 step += 1
                 lr = (rate + (last - rate) * step / (total + 1)) * math.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+                q = np.concatenate([g[k].ravel() for k, _ in shape])
                 scale = 1.0 / ys.size
-                norm = math.sqrt(sum(float((q * q).sum()) for q in g.values())) * scale
-                scale *= min(1.0, 1.0 / max(norm, 1e-9))
-                for k, q in g.items():
-                    q = q * np.float32(scale)
-                    m[k] += 0.1 * (q - m[k])
-                    v2[k] += 0.001 * (q * q - v2[k])
-                    p[k] += lr * m[k] / (np.sqrt(v2[k]) + 1e-8)
+                norm = math.sqrt(float(q @ q)) * scale
+                q *= np.float32(scale * min(1.0, 1.0 / max(norm, 1e-9)))
+                m *= np.float32(0.9)
+                m += np.float32(0.1) * q
+                q *= q
+                v2 *= np.float32(0.999)
+                q *= np.float32(0.001)
+                v2 += q
+                np.sqrt(v2, out=q)
+                q += np.float32(1e-8)
+                np.divide(m, q, out=q)
+                q *= np.float32(lr)
+                flat += q
 
 
 class Model:
@@ -305,6 +364,7 @@ def own(model: Model, code: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 def learn(net: Network, y: np.ndarray, sizes: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, last: float = 0.0) -> None:
     """Train on the codes y of documents of these sizes, side by side in streams; every place is used."""
+    keep_pages()
     fresh = np.zeros(len(y), np.float32)
     fresh[np.cumsum(sizes) - sizes] = 1
     width = max(1, min(STREAMS, len(y) // STEPS))
@@ -329,27 +389,39 @@ def fit(sample: list[str], total: np.ndarray, count: dict[bytes, int]) -> Model:
     return model
 
 
-PIECES = "key long, tokens long, sizes binary, codes binary"
-
-
-def pieces(model: Model, code: np.ndarray, count: np.ndarray, counts: np.ndarray, codes: np.ndarray, train: np.ndarray) -> pa.Table:
-    """Rows of PIECES: the training documents' codes, whole documents of PIECE_TOKENS or more a row."""
-    y = own(model, code, count)[codes[np.repeat(train, counts)]].astype(np.uint16)
-    sizes = counts[train]
-    ends = np.cumsum(sizes)
-    rows, a = [], 0
-    while a < len(sizes):
-        before = int(ends[a - 1]) if a else 0
-        b = min(len(sizes), int(np.searchsorted(ends, before + PIECE_TOKENS)) + 1)
-        raw = y[before : int(ends[b - 1])].tobytes()
-        rows.append((xxhash.xxh3_64_intdigest(raw) - (1 << 63), len(raw) // 2, pack(sizes[a:b].astype(np.uint32)), pack(y[before : int(ends[b - 1])])))
-        a = b
-    cols = zip(*rows, strict=True) if rows else ([], [], [], [])
-    return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["key", "tokens", "sizes", "codes"])
+#: Rows of codes: whole documents of PIECE_TOKENS or more (or all of a block) that train the network (chosen) or don't, and
+#: what their counts give: known words, base score, the log10 shares of tail words.
+PIECES = "key long, tokens long, chosen boolean, ids array<{}>, train array<boolean>, sizes binary, known binary, base binary, tail binary, codes binary"
+
+
+def pieces(model: Model, code: np.ndarray, count: np.ndarray, counts: np.ndarray, codes: np.ndarray, columns: dict) -> pa.Table:
+    """Rows of PIECES of a block.  Words seen twice have codes of their own, as they train as rare ones and score as tail words."""
+    top = len(model.top)
+    kinds = (code + np.where((count == 2) & (code >= top) & (code < top + ENDINGS), 2 * ENDINGS, 0)).astype(np.uint16)
+    starts = np.cumsum(counts) - counts
+    each = {"known": (count > 0).astype(np.int64), "base": model.base(count.astype(np.float64)), "tail": model.tail_logs(code, count)}
+    each = {k: np.add.reduceat(v[codes], starts) if len(counts) else v[:0] for k, v in each.items()}  # no document is without a token
+    chosen = np.asarray(columns["chosen"].fill_null(False), dtype=bool)
+    rows = []
+    for kind in (False, True):
+        mine = np.flatnonzero(chosen == kind)
+        y, sizes = kinds[codes[np.repeat(chosen == kind, counts)]], counts[mine]
+        ends, a = np.cumsum(sizes), 0
+        while a < len(sizes):
+            before = int(ends[a - 1]) if a else 0
+            b = min(len(sizes), int(np.searchsorted(ends, before + PIECE_TOKENS)) + 1)
+            some, at = np.ascontiguousarray(y[before : int(ends[b - 1])]), pa.array(mine[a:b])
+            rows.append((xxhash.xxh3_64_intdigest(some.tobytes()) - (1 << 63), len(some), kind, columns["doc_id"].take(at), columns["train"].take(at), pack(sizes[a:b].astype(np.uint32)), *(pack(each[k][mine[a:b]]) for k in each), pack(some)))
+            a = b
+    names = ["key", "tokens", "chosen", "ids", "train", "sizes", *each, "codes"]
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.list_(columns["doc_id"].type), pa.list_(pa.bool_()), *[pa.binary()] * 5]
+    cols = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+    return pa.table([pa.array([x.to_pylist() for x in c] if pa.types.is_list(t) else c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
 
 def trained(net: Network, rows: DataFrame, tasks: int, rate: float, last: float) -> tuple[Network, int]:
     """One round: each task goes on from net over its rows; the average by tokens, and the tokens."""
+    rows = rows.select("key", "sizes", "codes")
     shared = rows.sparkSession.sparkContext.broadcast(net)
     groups = math.isqrt(tasks - 1) + 1
     shape = [(k, v.shape) for k, v in net.p.items()]
@@ -362,6 +434,7 @@ def trained(net: Network, rows: DataFrame, tasks: int, rate: float, last: float)
         if held:
             mine = copy.deepcopy(shared.value)
             y = np.concatenate([unpack(c, np.uint16) for _, _, c in held]).astype(np.int64)
+            y[y >= mine.n_codes] -= ENDINGS  # words seen twice
             learn(mine, y, np.concatenate([unpack(z, np.uint32) for _, z, _ in held]).astype(np.int64), 1, rate, last)
             yield row(held[0][0] % groups, len(y), np.concatenate([mine.p[k].ravel() for k, _ in shape]).astype(np.float64) * len(y))
             release()
@@ -390,7 +463,7 @@ def trained(net: Network, rows: DataFrame, tasks: int, rate: float, last: float)
 
 
 def train_all(model: Model, rows: DataFrame) -> None:
-    """Train the model's network on all rows of PIECES, each in one of the rounds."""
+    """Train the model's network on all these rows of PIECES, each in one of the rounds."""
     tokens = rows.agg(F.sum("tokens")).first()[0] or 0
     if not tokens:
         return
@@ -411,29 +484,45 @@ def train_all(model: Model, rows: DataFrame) -> None:
 
 def log10_text(model: Model, docs: list[np.ndarray], count: list[np.ndarray], streams: int = 256, window: int = 32) -> np.ndarray:
     """Sum of log10 probabilities of each document's codes; the state goes through whole documents."""
-    out = np.array([model.tail_logs(d, c).sum() for d, c in zip(docs, count, strict=True)])
-    net = model.network
-    if net is None:
-        return np.zeros(len(docs))
-    order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
-    for a in range(0, len(order), streams):
-        some = order[a : a + streams]
-        lens = np.array([len(docs[i]) for i in some])
-        h = np.zeros((len(some), HIDDEN), np.float32)
-        for lo in range(0, int(lens[0]), window):
-            live = int((lens > lo).sum())
-            hi = min(lo + window, int(lens[0]))
-            x = np.zeros((hi - lo, live), dtype=np.int64)
-            use = np.zeros(x.shape, dtype=bool)
-            for j in range(live):
-                d = docs[some[j]][lo:hi]
-                x[: len(d), j] = d
-                use[: len(d), j] = True
-            s = net.states(x, h[:live])
-            h = net.last
-            got = np.zeros(x.shape)
-            got[use] = net.logs(s[use], x[use]) / math.log(10)
-            out[some[:live]] += got.sum(0)
+    tail = np.array([model.tail_logs(d, c).sum() for d, c in zip(docs, count, strict=True)])
+    sizes = np.array([len(d) for d in docs], dtype=np.int64)
+    return tail + log10_codes(model.network, np.concatenate([np.zeros(0, np.int64), *docs]), sizes, streams, window) if model.network else np.zeros(len(docs))
+
+
+def log10_codes(net: Network, codes: np.ndarray, sizes: np.ndarray, streams: int = 256, window: int = 32) -> np.ndarray:
+    """Sum of log10 probabilities of the codes of each of the documents of these sizes, which follow each other.
+
+    Documents go one after another through streams of about equal length, so that steps have full rows.
+    """
+    keep_pages()
+    out, first = np.zeros(len(sizes)), np.cumsum(sizes) - sizes
+    lanes = [(0, j, []) for j in range(min(streams, len(sizes)))]
+    for i in np.argsort(-sizes, kind="stable").tolist():
+        n, j, mine = lanes[0]
+        if sizes[i]:
+            mine.append(i)
+            heapq.heapreplace(lanes, (n + int(sizes[i]), j, mine))
+    lanes.sort(key=lambda x: (-x[0], x[1]))
+    order = np.array([i for _, _, mine in lanes for i in mine], dtype=np.int64)
+    if not len(order):
+        return out
+    long = np.array([n for n, _, _ in lanes if n], dtype=np.int64)
+    start = np.cumsum(long) - long
+    x = codes[ranges(first[order], sizes[order])]
+    begin = np.cumsum(sizes[order]) - sizes[order]
+    fresh = np.zeros(len(x), np.float32)
+    fresh[begin] = 1
+    got, gx, h = np.empty(len(x)), net.inputs(), np.zeros((len(long), HIDDEN), np.float32)
+    for lo in range(0, int(long[0]), window):
+        live = int((long > lo).sum())
+        at = start[:live] + np.arange(lo, min(lo + window, int(long[0])))[:, None]
+        use = at < (start + long)[:live]
+        at[~use] = 0
+        s = net.states(x[at], h[:live], fresh[at], gx=gx)
+        h = net.last
+        at = at[use]
+        got[at] = net.logs(s[use], x[at])
+    out[order] = np.add.reduceat(got, begin) / math.log(10)
     return out
 
 
@@ -442,9 +531,8 @@ def score(docs: DataFrame, modulus: int = 10, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     d = id_and_text(docs, id_col, text_col).withColumn("train", train_rows("doc_id", modulus) != 0)
     buckets = blocks.bucket_count(docs)
-    chosen = F.col("train") & (F.pmod(F.xxhash64("doc_id"), F.lit(SHARE)) == 0)
-    parts = {0: d.where(~chosen), 1: d.where(chosen)}
-    dicts = blocks.dictionaries(parts[0], split, buckets, "train", 0).union(blocks.dictionaries(parts[1], split, buckets, "train", 1))
+    d = d.withColumn("chosen", F.col("train") & (F.pmod(F.xxhash64("doc_id"), F.lit(SHARE)) == 0))
+    dicts = blocks.dictionaries(d, split, buckets, "train")
     table = materialize(counted(dicts, buckets), "word-counts")
     total, count = np.zeros(4 + ENDINGS, dtype=np.int64), {}
     for r in table.where("block is null").toLocalIterator():  # a row a task, of at most TOP words
@@ -468,24 +556,41 @@ def score(docs: DataFrame, modulus: int = 10, id_col: str = "doc_id", text_col:
                 vals.append(pack(c))
             yield pa.RecordBatch.from_arrays([b.column("block"), b.column("start"), b.column("n"), pa.array(lens, pa.binary()), pa.array(vals, pa.binary())], names=["block", "start", "n", "lens", "vals"])
 
-    def training(lens: bytes, vals: bytes, counts: np.ndarray, codes: np.ndarray, columns: dict) -> pa.Table:
-        return pieces(words.value, np.frombuffer(lens, np.uint16).astype(np.int64), np.frombuffer(vals, np.uint32), counts, codes, np.asarray(columns["train"].fill_null(True), dtype=bool))
-
-    def finish(lens: bytes, vals: bytes, counts: np.ndarray, codes: np.ndarray, columns: dict) -> pa.Table:
-        model = shared.value
-        code, c = np.frombuffer(lens, np.uint16).astype(np.int64), np.frombuffer(vals, np.uint32).astype(np.float64)
-        ends = np.cumsum(counts)
-        base = model.base(c)
-        known = np.concatenate([[0], np.cumsum((c > 0)[codes])])
-        parts = [codes[e - n : e] for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
-        got = log10_text(model, [code[p] for p in parts], [c[p] for p in parts])
-        return pa.table({"doc_id": columns["doc_id"], "held_out": pc.invert(columns["train"]), "n_tokens": pa.array(counts, pa.int64()), "n_known": pa.array(known[ends] - known[ends - counts], pa.int64()), "train_tokens": pa.array([model.n] * len(counts), pa.int64()), "base_score": pa.array([float(base[p].sum()) for p in parts], pa.float64()), "score": pa.array(got, pa.float64())})
+    def coded_rows(lens: bytes, vals: bytes, counts: np.ndarray, codes: np.ndarray, columns: dict) -> pa.Table:
+        return pieces(words.value, np.frombuffer(lens, np.uint16).astype(np.int64), np.frombuffer(vals, np.uint32), counts, codes, columns)
 
     kind = d.schema["doc_id"].dataType.simpleString()
-    found = found.mapInArrow(values, blocks.VALUES)
-    of_network = found.where(F.col("block").bitwiseAND(F.lit(1)) == 1)
-    train_all(model, materialize(blocks.reassemble(of_network, {1: parts[1]}, split, buckets, training, PIECES), "train-codes"))
+    rows = materialize(blocks.reassemble(found.mapInArrow(values, blocks.VALUES), d, split, buckets, coded_rows, PIECES.format(kind)), "codes")
+    train_all(model, rows.where("chosen"))
     if seen is not None:
         seen.append(model)
     shared = spark.sparkContext.broadcast(model)
-    return blocks.reassemble(found, parts, split, buckets, finish, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            for i in range(b.num_rows):
+                held.append(b.slice(i, 1))
+                n += b.column("tokens")[i].as_py()
+                if n >= TASK_TOKENS:
+                    yield scored(shared.value, held)
+                    held, n = [], 0
+        if held:
+            yield scored(shared.value, held)
+        release()
+
+    return rows.mapInArrow(finish, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def scored(model: Model, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """The result's rows of the documents of some rows of PIECES."""
+    t = pa.Table.from_batches(held)
+    sizes, known, base, tail, codes = (np.concatenate([unpack(x, kind) for x in t.column(k).to_pylist()]) for k, kind in (("sizes", np.uint32), ("known", np.int64), ("base", np.float64), ("tail", np.float64), ("codes", np.uint16)))
+    ids, train = (pa.concat_arrays([c.flatten() for c in t.column(k).chunks]) for k in ("ids", "train"))
+    sizes, codes = sizes.astype(np.int64), codes.astype(np.int64)
+    got = np.zeros(len(sizes))
+    if model.network is not None:
+        codes[codes >= model.network.n_codes] -= 2 * ENDINGS  # words seen twice
+        got = tail + log10_codes(model.network, codes, sizes)
+    cols = {"doc_id": ids, "held_out": pc.invert(train), "n_tokens": pa.array(sizes), "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(sizes), model.n, np.int64)), "base_score": pa.array(base), "score": pa.array(got)}
+    return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
