@@ -7,7 +7,7 @@ with the blocks' distinct words, never with all word positions, and no word has
 are blocks, so a word that fills a third of the corpus is no hot key.
 
 The documents are read twice with the same splitter (dictionaries first, positions second); that
-costs CPU time and saves writing the positions out.  A block is named by a hash of its contents, so
+costs CPU time and saves writing the positions out (``once`` writes them out and reads once).  A block is named by a hash of its contents, so
 both readings agree whatever task they run in; a block without its dictionary is an error, never a
 silent loss.
 """
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import estimated_bytes, hashed, pack, release, shuffle_partitions, slices, unpack
+from .common import estimated_bytes, hashed, materialize, pack, release, shuffle_partitions, slices, unpack
 
 #: Bytes of text in a block: bounds the memory of a task.
 BLOCK_BYTES = 8 << 20
@@ -32,6 +32,8 @@ BUCKET_BYTES = 64 << 20
 
 #: words (dictionary), code of each position, number of positions of each document
 Split = Callable[[pa.Array], tuple[pa.Array, np.ndarray, np.ndarray]]
+#: numbers that words are dealt over buckets by
+Number = Callable[[pa.Array], np.ndarray]
 
 
 def _key(batch: pa.RecordBatch, part: int) -> int:
@@ -47,10 +49,10 @@ def _key(batch: pa.RecordBatch, part: int) -> int:
     return (h.intdigest() & ~1 | part) - (1 << 63)
 
 
-def _dictionary(batch: pa.RecordBatch, split: Split, buckets: int):
+def _dictionary(batch: pa.RecordBatch, split: Split, buckets: int, number: Number = hashed):
     """The block's words in bucket order, the bucket borders, and positions in that order."""
     words, codes, counts = split(pc.fill_null(batch.column("text"), ""))
-    bucket = (hashed(words) % np.uint64(buckets)).astype(np.int64)
+    bucket = (number(words) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     place = np.empty(len(order), dtype=np.int64)
     place[order] = np.arange(len(order))
@@ -71,55 +73,90 @@ def unpack_words(lens: bytes, raw: bytes) -> list[bytes]:
     return [data[e - k : e] for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
 
 
+def joined_words(lens: list[bytes], raws: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The words of packed dictionaries as one array, and how many each dictionary has."""
+    lens = [unpack(x, np.uint32) for x in lens]
+    offsets = np.append(0, np.cumsum(np.concatenate([np.zeros(0, np.uint32), *lens]), dtype=np.int64))
+    raw = b"".join(unpack(x, np.uint8).tobytes() for x in raws)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(raw)]), np.array([len(x) for x in lens], dtype=np.int64)
+
+
 DICT = "bucket int, block long, start int, n int, lens binary, words binary, counts binary"
 VALUES = "block long, start int, n int, lens binary, vals binary"
 
 
+def _dictionary_rows(b: pa.RecordBatch, words: pa.Array, borders: np.ndarray, codes: np.ndarray, counts: np.ndarray, counted: str | None, key: int) -> pa.RecordBatch:
+    each = None
+    if counted:
+        use = np.repeat(np.asarray(b.column(counted).fill_null(False), dtype=bool), counts)
+        each = np.bincount(codes[use], minlength=len(words)).astype(np.uint32)
+    out = {k: [] for k in ("bucket", "start", "n", "lens", "words", "counts")}
+    for i in np.flatnonzero(np.diff(borders)):
+        lo, hi = int(borders[i]), int(borders[i + 1])
+        lens, raw = pack_words(words.slice(lo, hi - lo))
+        for k, v in zip(out, (int(i), lo, hi - lo, lens, raw, pack(each[lo:hi]) if counted else None), strict=True):
+            out[k].append(v)
+    n = len(out["n"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(out["bucket"], pa.int32()), pa.array([key] * n, pa.int64()), pa.array(out["start"], pa.int32()), pa.array(out["n"], pa.int32()), pa.array(out["lens"], pa.binary()), pa.array(out["words"], pa.binary()), pa.array(out["counts"], pa.binary())],
+        names=["bucket", "block", "start", "n", "lens", "words", "counts"],
+    )
+
+
 def dictionaries(docs: DataFrame, split: Split, buckets: int, counted: str | None = None, part: int = 0) -> DataFrame:
     """Rows of DICT.  counted: a boolean column; counts then holds each word's positions in its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", BLOCK_BYTES):
             words, borders, codes, counts = _dictionary(b, split, buckets)
-            each = None
-            if counted:
-                use = np.repeat(np.asarray(b.column(counted).fill_null(False), dtype=bool), counts)
-                each = np.bincount(codes[use], minlength=len(words)).astype(np.uint32)
-            out = {k: [] for k in ("bucket", "start", "n", "lens", "words", "counts")}
-            for i in np.flatnonzero(np.diff(borders)):
-                lo, hi = int(borders[i]), int(borders[i + 1])
-                lens, raw = pack_words(words.slice(lo, hi - lo))
-                for k, v in zip(out, (int(i), lo, hi - lo, lens, raw, pack(each[lo:hi]) if counted else None), strict=True):
-                    out[k].append(v)
-            n = len(out["n"])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out["bucket"], pa.int32()), pa.array([_key(b, part)] * n, pa.int64()), pa.array(out["start"], pa.int32()), pa.array(out["n"], pa.int32()), pa.array(out["lens"], pa.binary()), pa.array(out["words"], pa.binary()), pa.array(out["counts"], pa.binary())],
-                names=["bucket", "block", "start", "n", "lens", "words", "counts"],
-            )
+            yield _dictionary_rows(b, words, borders, codes, counts, counted, _key(b, part))
 
     return docs.mapInArrow(run, DICT)
 
 
-def positions(docs: DataFrame, split: Split, buckets: int, part: int = 0) -> DataFrame:
-    """A row for each block: its documents, their numbers of positions, and the positions' words."""
+def _positions_row(b: pa.RecordBatch, words: pa.Array, codes: np.ndarray, counts: np.ndarray, kept: list[str], key: int) -> pa.RecordBatch:
+    cols = [pa.array([key], pa.int64())]
+    for name in kept:
+        c = b.column(name)
+        cols.append(pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c))
+    cols += [pa.array([pack(counts.astype(np.uint32))], pa.binary()), pa.array([pack(codes.astype(np.uint32))], pa.binary()), pa.array([len(words)], pa.int32())]
+    return pa.RecordBatch.from_arrays(cols, names=["block", *kept, "counts", "codes", "n_words"])
+
+
+def positions(docs: DataFrame, split: Split, buckets: int, part: int = 0, counted: str | None = None, number: Number = hashed) -> DataFrame:
+    """A row for each block: its documents, their numbers of positions, and the positions' words.
+
+    With counted, the rows of dictionaries come along (see once); columns of docs must not be named like those of DICT then.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     kept = [f for f in docs.schema.fields if f.name != "text"]
-    schema = T.StructType([T.StructField("block", T.LongType()), *[T.StructField(f.name, T.ArrayType(f.dataType)) for f in kept], T.StructField("counts", T.BinaryType()), T.StructField("codes", T.BinaryType()), T.StructField("n_words", T.IntegerType())])
+    names = [f.name for f in kept]
+    schema = T.StructType([*(T._parse_datatype_string(DICT).fields if counted else [T.StructField("block", T.LongType()), T.StructField("counts", T.BinaryType())]), *[T.StructField(f.name, T.ArrayType(f.dataType)) for f in kept], T.StructField("codes", T.BinaryType()), T.StructField("n_words", T.IntegerType())])
+    arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", BLOCK_BYTES):
-            words, _, codes, counts = _dictionary(b, split, buckets)
-            cols = [pa.array([_key(b, part)], pa.int64())]
-            for f in kept:
-                c = b.column(f.name)
-                cols.append(pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c))
-            cols += [pa.array([pack(counts.astype(np.uint32))], pa.binary()), pa.array([pack(codes.astype(np.uint32))], pa.binary()), pa.array([len(words)], pa.int32())]
-            yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema.fields])
+            words, borders, codes, counts = _dictionary(b, split, buckets, number)
+            key = _key(b, part)
+            for rows in ([_dictionary_rows(b, words, borders, codes, counts, counted, key)] if counted else []) + [_positions_row(b, words, codes, counts, names, key)]:
+                yield pa.RecordBatch.from_arrays([rows.column(f.name).cast(f.type) if f.name in rows.schema.names else pa.nulls(rows.num_rows, f.type) for f in arrow], schema=arrow)
 
     return docs.mapInArrow(run, schema)
 
 
-def reassemble(values: DataFrame, docs: DataFrame | dict[int, DataFrame], split: Split, buckets: int, finish, schema) -> DataFrame:
-    """Bring each block's word values to its documents; docs: a table, or its parts by number.
+def once(docs: DataFrame, split: Split, buckets: int, counted: str, number: Number = hashed) -> tuple[DataFrame, DataFrame]:
+    """The rows of dictionaries and those of positions from one reading, by a table in the shared folder that holds both.
+
+    That spares splitting the documents again and costs the disk of the positions.
+    """
+    both = materialize(positions(docs, split, buckets, 0, counted, number), "blocks")
+    words = [f.name for f in T._parse_datatype_string(DICT).fields]
+    return both.where("bucket is not null").select(words), both.where("bucket is null").select("block", "counts", *(c for c in both.columns if c not in words))
+
+
+def reassemble(values: DataFrame, docs: DataFrame | dict[int, DataFrame], split: Split, buckets: int, finish, schema, rows: DataFrame | None = None) -> DataFrame:
+    """Bring each block's word values to its documents; docs: a table, or its parts by number; rows: its positions, if at hand.
 
     finish(lens, vals, counts, codes, columns): lens and vals are the block's word values in word
     order, columns holds the documents' other columns; it returns a pyarrow Table of schema.
@@ -148,8 +185,7 @@ def reassemble(values: DataFrame, docs: DataFrame | dict[int, DataFrame], split:
         release()
         return pa.concat_tables(out).cast(arrow) if out else arrow.empty_table()
 
-    rows = None
-    for part, d in parts.items():
+    for part, d in parts.items() if rows is None else ():
         more = positions(d, split, buckets, part)
         rows = more if rows is None else rows.union(more)
     return values.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(join, schema)

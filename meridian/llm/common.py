@@ -131,6 +131,22 @@ def hashed(words: pa.Array, seed: int = 0) -> np.ndarray:
     return np.fromiter((h(w, seed) for w in words.cast(pa.binary()).to_pylist()), np.uint64, len(words))
 
 
+def binaries(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of strings without nulls, one after another, and where each begins (and the last ends)."""
+    kind = np.int64 if pa.types.is_large_binary(words.type) or pa.types.is_large_string(words.type) else np.int32
+    offsets = np.frombuffer(words.buffers()[1] or bytes(8), dtype=kind)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    return np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def dealt(words: pa.Array) -> np.ndarray:
+    """Stable 64-bit numbers of strings (the same on every machine) to deal them out by; plainer than hashed, all strings at once."""
+    raw, offsets = binaries(words)
+    lens = np.diff(offsets)
+    powers = np.cumprod(np.full(int(lens.max(initial=0)) + 1, 0x9E3779B97F4A7C15, dtype=np.uint64))
+    sums = np.append(np.uint64(0), np.cumsum((raw + np.uint64(1)) * powers[np.arange(len(raw)) - np.repeat(offsets[:-1], lens)], dtype=np.uint64))
+    return mix(sums[offsets[1:]] - sums[offsets[:-1]])
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64); every bit of the input reaches every bit of the output."""
     with np.errstate(over="ignore"):

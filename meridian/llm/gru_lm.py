@@ -22,6 +22,7 @@ gives an empty table.
 from __future__ import annotations
 
 import copy
+import functools
 import heapq
 import math
 import zlib
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import coded, id_and_text, keep_pages, materialize, pack, ranges, release, train_rows, unpack, words_of
+from .common import binaries, coded, dealt, id_and_text, keep_pages, materialize, pack, ranges, release, train_rows, unpack, words_of
 
 END = "\n"
 #: Tokens that a training task holds, and that a row of training codes holds at least (or all of a block).
@@ -46,6 +47,8 @@ TOP = 2_048
 CLASSES = 48
 ENDINGS = 16
 HIDDEN, EMBED = 32, 24
+#: Rows of the class softmax that are worked on at a time, so that they stay in a core's cache.
+ROWS = 1_024
 STREAMS, STEPS, EPOCHS, RATE = 256, 16, 1, 0.012
 #: One in so many training documents trains the network (all), in so many rounds of averaging.
 SHARE, ROUNDS = 1, 2
@@ -67,6 +70,22 @@ def ending(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % ENDINGS
 
 
+@functools.cache
+def _pairs() -> np.ndarray:
+    """Tail classes of words by their last two bytes as a number; then the empty word's; then words' of one byte."""
+    return np.array([ending(bytes(divmod(i, 256))) for i in range(1 << 16)] + [ending(b"")] + [ending(bytes([i])) for i in range(256)], dtype=np.int64)
+
+
+def endings(words: pa.Array) -> np.ndarray:
+    """The tail class of each word."""
+    raw, offsets = binaries(words)
+    if not len(raw):
+        return np.full(len(words), ending(b""))
+    n, last = np.diff(offsets), offsets[1:] - 1
+    a, b = raw[np.maximum(last - 1, 0)].astype(np.int64), raw[np.maximum(last, 0)].astype(np.int64)
+    return _pairs()[np.where(n > 1, a * 256 + b, np.where(n == 1, b + 65_537, 65_536))]
+
+
 class Network:
     """Embedding, gated recurrent unit, class softmax, softmax inside the classes."""
 
@@ -141,21 +160,27 @@ class Network:
         order = np.argsort(cls.astype(np.uint16), kind="stable")
         edge = np.searchsorted(cls[order], np.arange(len(self.sizes) + 1))
         s, y, cls = s[order], y[order], cls[order]
-        e = s @ p["C"]
-        e += p["c"]
-        rows = np.arange(len(y))
-        if e.size and not -60 < e.min() <= e.max() < 60:
-            e -= e.max(1, keepdims=True)
-        got = e[rows, cls]
-        np.exp(e, out=e)
-        z = e @ np.ones(e.shape[1], e.dtype)
-        got -= np.log(z)
-        ds = g = None
-        if grad:
-            e *= (-1 / z)[:, None]
-            e[rows, cls] += 1
-            g = {"C": s.T @ e, "c": e.sum(0), "w": np.zeros_like(p["w"])}
-            ds = e @ p["C"].T
+        got = np.empty(len(y), s.dtype)
+        ds, g = (np.empty_like(s), {"C": np.zeros_like(p["C"]), "c": np.zeros_like(p["c"]), "w": np.zeros_like(p["w"])}) if grad else (None, None)
+        back = np.ascontiguousarray(p["C"].T)
+        for lo in range(0, len(y), ROWS):
+            some = slice(lo, lo + ROWS)
+            e = s[some] @ p["C"]
+            e += p["c"]
+            at = np.arange(len(e)) * e.shape[1] + cls[some]
+            hit = e.ravel()[at]
+            if not (e.max() < 60 and hit.min() > -60):
+                e -= e.max(1, keepdims=True)
+                hit = e.ravel()[at]
+            np.exp(e, out=e)
+            z = e @ np.ones(e.shape[1], e.dtype)
+            got[some] = hit - np.log(z)
+            if grad:
+                e *= (-1 / z)[:, None]
+                e.ravel()[at] += 1
+                g["C"] += s[some].T @ e
+                g["c"] += np.ones(len(e), e.dtype) @ e
+                np.matmul(e, back, out=ds[some])
         words = np.ascontiguousarray(p["W"].T)
         gw = np.zeros_like(words)
         for k, cols, real in self.groups:
@@ -168,15 +193,18 @@ class Network:
             w, own = words[cols], s[at]
             e = own @ w.transpose(0, 2, 1)
             e += np.where(real, p["w"][cols], e.dtype.type(-1e9))[:, None]
-            e -= e.max(2, keepdims=True)
-            j = np.where(use, y[at] - self.first[k][:, None], 0)[:, :, None]
-            hit = np.take_along_axis(e, j, 2)[:, :, 0]
+            j = np.where(use, y[at] - self.first[k][:, None], 0)
+            j = np.arange(j.size) * e.shape[2] + j.ravel()
+            hit = e.ravel()[j]
+            if not (e.max() < 60 and hit.min() > -60):
+                e -= e.max(2, keepdims=True)
+                hit = e.ravel()[j]
             np.exp(e, out=e)
             z = e @ np.ones(e.shape[2], e.dtype)
-            got[i] += (hit - np.log(z))[use]
+            got[i] += (hit.reshape(use.shape) - np.log(z))[use]
             if grad:
                 e *= np.where(use, -1 / z, 0)[:, :, None].astype(e.dtype)
-                np.put_along_axis(e, j, np.take_along_axis(e, j, 2) + use[:, :, None], 2)
+                e.ravel()[j] += use.ravel()
                 gw[cols[real]] = (e.transpose(0, 2, 1) @ own)[real]
                 g["w"][cols[real]] = e.sum(1)[real]
                 ds[i] += (e @ w)[use]
@@ -276,6 +304,12 @@ class Model:
         k = self.top.get(word)
         return k if k is not None else len(self.top) + (ENDINGS if count <= 1 else 0) + ending(word)
 
+    def codes(self, words: pa.Array, count: np.ndarray) -> np.ndarray:
+        """The code of each word."""
+        found = pc.index_in(words, pa.array(list(self.top), words.type))
+        k = np.asarray(found.fill_null(-1), dtype=np.int64)
+        return np.where(k >= 0, k, len(self.top) + np.where(count <= 1, ENDINGS, 0) + endings(words))
+
     def tail_logs(self, code: np.ndarray, count: np.ndarray) -> np.ndarray:
         """log10 of a word's share of its class; 0 for frequent words."""
         t, out = len(self.top), np.zeros(len(code))
@@ -297,31 +331,30 @@ def counted(dicts: DataFrame, buckets: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total = [], {}
-        for b in batches:
-            for r in b.select(["block", "start", "n", "lens", "words", "counts"]).to_pylist():
-                held.append(r)  # packed: the bucket's dictionaries, of a size that the number of buckets sets
-                for w, c in zip(blocks.unpack_words(r["lens"], r["words"]), unpack(r["counts"], np.uint32).tolist(), strict=True):
-                    total[w] = total.get(w, 0) + c
+        held = [r for b in batches for r in b.select(["block", "start", "n", "lens", "words", "counts"]).to_pylist()]  # packed: the bucket's dictionaries, of a size that the number of buckets sets
+        words, each = blocks.joined_words([r["lens"] for r in held], [r["words"] for r in held])
+        codes, words = coded(words)
+        total = np.bincount(codes, np.concatenate([np.zeros(0), *(unpack(r["counts"], np.uint32) for r in held)]), len(words))  # whole numbers, exact up to 2**53
+        if total.max(initial=0) >= 1 << 32:
+            raise OverflowError("a word has more places than 32 bits can count")
+        total = total.astype(np.int64)
         names = ["block", "start", "n", "lens", "words", "counts"]
         types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        ends = np.cumsum(each)
         for i in range(0, len(held), 64):
             some = held[i : i + 64]
-            for r in some:
-                r["counts"] = pack(np.array([total[w] for w in blocks.unpack_words(r["lens"], r["words"])], dtype=np.uint32))
+            for r, lo, hi in zip(some, (ends - each)[i : i + 64], ends[i : i + 64], strict=True):
+                r["counts"] = pack(total[codes[lo:hi]].astype(np.uint32))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in some], t) for k, t in zip(names, types, strict=True)], names=names)
-        sums = np.zeros(4 + ENDINGS, dtype=np.int64)
-        for w, c in total.items():
-            if c:
-                sums[0] += c
-                sums[1] += 1
-                if c <= 2:
-                    sums[1 + c] += 1
-                if c >= 2:
-                    sums[4 + ending(w)] += c
-        mine = frequent(total)
+        twice = total >= 2
+        sums = np.concatenate([[total.sum(), (total > 0).sum(), (total == 1).sum(), (total == 2).sum()], np.bincount(endings(words)[twice], total[twice], ENDINGS)]).astype(np.int64)
+        # the words that may be among the most frequent: those with the TOP-th count or more
+        least = max(3, int(np.partition(total, -TOP)[-TOP])) if len(total) > TOP else 3
+        some = np.flatnonzero(total >= least)
+        count = dict(zip(words.take(pa.array(some)).to_pylist(), total[some].tolist(), strict=True))
+        mine = frequent(count)
         lens, raw = blocks.pack_words(pa.array(mine, pa.binary()))
-        row = [None, None, None, lens, raw, pack(np.concatenate([sums, np.array([total[w] for w in mine], dtype=np.int64)]))]
+        row = [None, None, None, lens, raw, pack(np.concatenate([sums, np.array([count[w] for w in mine], dtype=np.int64)]))]
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=names)
 
     return dicts.repartition(buckets, "bucket").mapInArrow(run, "block long, start int, n int, lens binary, words binary, counts binary")
@@ -482,14 +515,14 @@ def train_all(model: Model, rows: DataFrame) -> None:
     model.network = net
 
 
-def log10_text(model: Model, docs: list[np.ndarray], count: list[np.ndarray], streams: int = 256, window: int = 32) -> np.ndarray:
+def log10_text(model: Model, docs: list[np.ndarray], count: list[np.ndarray], streams: int = 256, window: int = 64) -> np.ndarray:
     """Sum of log10 probabilities of each document's codes; the state goes through whole documents."""
     tail = np.array([model.tail_logs(d, c).sum() for d, c in zip(docs, count, strict=True)])
     sizes = np.array([len(d) for d in docs], dtype=np.int64)
     return tail + log10_codes(model.network, np.concatenate([np.zeros(0, np.int64), *docs]), sizes, streams, window) if model.network else np.zeros(len(docs))
 
 
-def log10_codes(net: Network, codes: np.ndarray, sizes: np.ndarray, streams: int = 256, window: int = 32) -> np.ndarray:
+def log10_codes(net: Network, codes: np.ndarray, sizes: np.ndarray, streams: int = 256, window: int = 64) -> np.ndarray:
     """Sum of log10 probabilities of the codes of each of the documents of these sizes, which follow each other.
 
     Documents go one after another through streams of about equal length, so that steps have full rows.
@@ -532,7 +565,7 @@ def score(docs: DataFrame, modulus: int = 10, id_col: str = "doc_id", text_col:
     d = id_and_text(docs, id_col, text_col).withColumn("train", train_rows("doc_id", modulus) != 0)
     buckets = blocks.bucket_count(docs)
     d = d.withColumn("chosen", F.col("train") & (F.pmod(F.xxhash64("doc_id"), F.lit(SHARE)) == 0))
-    dicts = blocks.dictionaries(d, split, buckets, "train")
+    dicts, places = blocks.once(d, split, buckets, "train", dealt)
     table = materialize(counted(dicts, buckets), "word-counts")
     total, count = np.zeros(4 + ENDINGS, dtype=np.int64), {}
     for r in table.where("block is null").toLocalIterator():  # a row a task, of at most TOP words
@@ -547,20 +580,19 @@ def score(docs: DataFrame, modulus: int = 10, id_col: str = "doc_id", text_col:
     found = table.where("block is not null")
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = words.value.code
         for b in batches:
-            lens, vals = [], []
-            for n, raw, c in zip(b.column("lens").to_pylist(), b.column("words").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                c = unpack(c, np.uint32)
-                lens.append(pack(np.array([code(w, k) for w, k in zip(blocks.unpack_words(n, raw), c.tolist(), strict=True)], dtype=np.uint16)))
-                vals.append(pack(c))
+            c = [unpack(x, np.uint32) for x in b.column("counts").to_pylist()]
+            found, each = blocks.joined_words(b.column("lens").to_pylist(), b.column("words").to_pylist())
+            code = words.value.codes(found, np.concatenate([np.zeros(0, np.uint32), *c])).astype(np.uint16)
+            ends = np.cumsum(each)
+            lens, vals = [pack(code[lo:hi]) for lo, hi in zip(ends - each, ends, strict=True)], [pack(x) for x in c]
             yield pa.RecordBatch.from_arrays([b.column("block"), b.column("start"), b.column("n"), pa.array(lens, pa.binary()), pa.array(vals, pa.binary())], names=["block", "start", "n", "lens", "vals"])
 
     def coded_rows(lens: bytes, vals: bytes, counts: np.ndarray, codes: np.ndarray, columns: dict) -> pa.Table:
         return pieces(words.value, np.frombuffer(lens, np.uint16).astype(np.int64), np.frombuffer(vals, np.uint32), counts, codes, columns)
 
     kind = d.schema["doc_id"].dataType.simpleString()
-    rows = materialize(blocks.reassemble(found.mapInArrow(values, blocks.VALUES), d, split, buckets, coded_rows, PIECES.format(kind)), "codes")
+    rows = materialize(blocks.reassemble(found.mapInArrow(values, blocks.VALUES), d, split, buckets, coded_rows, PIECES.format(kind), places), "codes")
     train_all(model, rows.where("chosen"))
     if seen is not None:
         seen.append(model)
