@@ -118,39 +118,55 @@ class Network:
         if self.n_top:
             self.p["w"][:] = np.log(counts[: self.n_top] + 0.5)
 
+    def gates(self, *names: str) -> np.ndarray:
+        """Rows of weights apart for each gate (update, reset, new), of which the first two have the sign that their exponentials take."""
+        rows = np.vstack([self.p[k].reshape(-1, 3 * HIDDEN) for k in names])
+        out = np.ascontiguousarray(rows.reshape(-1, 3, HIDDEN).transpose(1, 0, 2))
+        np.negative(out[:2], out=out[:2])
+        return out
+
+    def embedded(self) -> np.ndarray:
+        """The embedding of each code and a 1 for the bias."""
+        return np.concatenate([self.p["E"], np.ones((self.n_codes, 1), self.p["E"].dtype)], 1)
+
     def inputs(self) -> np.ndarray:
-        """What each code adds to the gates."""
-        return self.p["E"] @ self.p["Wx"] + self.p["b"]
+        """What each code adds to each of the gates (see gates)."""
+        return self.embedded() @ self.gates("Wx", "b")
 
     def states(self, x: np.ndarray, h: np.ndarray, fresh: np.ndarray | None = None, keep: dict | None = None, gx: np.ndarray | None = None) -> np.ndarray:
-        """States before each token of x (steps, streams); fresh marks tokens that begin a document; gx: inputs(), if at hand."""
-        H, wh = HIDDEN, self.p["Wh"]
+        """States before each token of x (steps, streams); fresh marks tokens that begin a document; gx: inputs(), if at hand.
+
+        A gate's values of a step lie together, so that each operation runs over one piece of memory.
+        """
+        H, wh = HIDDEN, self.gates("Wh")
         gx = self.inputs() if gx is None else gx
-        out = np.empty((*x.shape, H), h.dtype)
-        gates, news, us = (np.empty((*x.shape, n), h.dtype) for n in (2 * H, H, H)) if keep is not None else (None, None, None)
+        out = np.empty((len(x) + 1, x.shape[1], H), h.dtype)
+        out[0] = h
+        # update and reset gate, new value, its share from the state, update gate times (state - new value)
+        held = np.empty((1 if keep is None else len(x), 5, x.shape[1], H), h.dtype)
+        begin = np.zeros(len(x), dtype=bool) if fresh is None else fresh.any(1)
         for t in range(len(x)):
-            if fresh is not None and fresh[t].any():
-                h = h * (1 - fresh[t])[:, None]
-            out[t] = h
-            a = np.take(gx, x[t], axis=0)
-            u = h @ wh
-            zr = np.add(a[:, : 2 * H], u[:, : 2 * H], out=None if gates is None else gates[t])
-            np.negative(zr, out=zr)
+            h, now = out[t], held[0 if keep is None else t]
+            if begin[t]:
+                h[fresh[t] > 0] = 0
+            a = np.take(gx, x[t], axis=1)
+            zr, n, u, rest = now[:2], now[2], now[3], now[4]
+            np.matmul(h, wh[:2], out=zr)
+            zr += a[:2]
             np.exp(zr, out=zr)
             zr += 1
             np.reciprocal(zr, out=zr)
-            n = np.multiply(zr[:, H:], u[:, 2 * H :], out=None if news is None else news[t])
-            n += a[:, 2 * H :]
+            np.matmul(h, wh[2], out=u)
+            np.multiply(zr[1], u, out=n)
+            n += a[2]
             np.tanh(n, out=n)
-            if us is not None:
-                us[t] = u[:, 2 * H :]
-            h = h - n
-            h *= zr[:, :H]
-            h += n
+            np.subtract(h, n, out=rest)
+            rest *= zr[0]
+            np.add(rest, n, out=out[t + 1])
         if keep is not None:
-            keep |= {"gates": gates, "new": news, "u": us}
-        self.last = h
-        return out
+            keep["held"] = held
+        self.last = out[-1].copy()
+        return out[:-1]
 
     def logs(self, s: np.ndarray, y: np.ndarray, grad: bool = False):
         """Natural log probability of each target code (a tail code: of its class); with gradients of the sum."""
@@ -159,7 +175,7 @@ class Network:
         # rows in the order of classes, so that each class is a run of them
         order = np.argsort(cls.astype(np.uint16), kind="stable")
         edge = np.searchsorted(cls[order], np.arange(len(self.sizes) + 1))
-        s, y, cls = s[order], y[order], cls[order]
+        s, y, cls = np.take(s, order, axis=0), y[order], cls[order]
         got = np.empty(len(y), s.dtype)
         ds, g = (np.empty_like(s), {"C": np.zeros_like(p["C"]), "c": np.zeros_like(p["c"]), "w": np.zeros_like(p["w"])}) if grad else (None, None)
         back = np.ascontiguousarray(p["C"].T)
@@ -222,36 +238,54 @@ class Network:
         """Gradients of the sum of log probabilities of y over a window that begins in state h."""
         p, H = self.p, HIDDEN
         keep: dict = {}
-        s = self.states(x, h, fresh, keep)
+        embedded = self.embedded()
+        s = self.states(x, h, fresh, keep, embedded @ self.gates("Wx", "b"))
         _, ds, g = self.logs(s.reshape(-1, H), y.ravel(), True)
         ds = ds.reshape(s.shape)
-        z, r, n = keep["gates"][:, :, :H], keep["gates"][:, :, H:], keep["new"]
-        # what a state's gradient is multiplied by on its way to each gate
-        to_n = (1 - z) * (1 - n * n)
-        to_r = keep["u"] * r * (1 - r)
-        to_z = (s - n) * z * (1 - z)
-        ga, du = (np.empty((*x.shape, 3 * H), s.dtype) for _ in range(2))
-        dh, wh = np.zeros_like(h), np.ascontiguousarray(p["Wh"].T)
+        # gradients of the new value, the update and the reset gate (of these three the inputs'), and the state's share of the new value
+        ga = np.empty((4, *s.shape), s.dtype)
+        dh, some, back = np.zeros_like(h), np.empty_like(h), np.empty((3, *h.shape), h.dtype)
+        wh = np.ascontiguousarray(p["Wh"].reshape(H, 3, H).transpose(1, 2, 0))
+        begin = fresh.any(1)
         for t in range(len(x) - 1, -1, -1):
-            a, d = ga[t], du[t]
-            dn = np.multiply(dh, to_n[t], out=a[:, 2 * H :])
-            np.multiply(dn, to_r[t], out=a[:, H : 2 * H])
-            np.multiply(dh, to_z[t], out=a[:, :H])
-            d[:, : 2 * H] = a[:, : 2 * H]
-            np.multiply(dn, r[t], out=d[:, 2 * H :])
-            dh *= z[t]
-            dh += d @ wh
+            (z, r, n, u, rest), (dn, dz, dr, du) = keep["held"][t], ga[:, t]
+            np.subtract(1, z, out=some)
+            np.multiply(rest, some, out=dz)
+            dz *= dh
+            np.multiply(n, n, out=dn)
+            np.subtract(1, dn, out=dn)
+            dn *= some
+            dn *= dh
+            np.multiply(dn, r, out=du)
+            np.subtract(1, r, out=some)
+            some *= u
+            np.multiply(some, du, out=dr)
+            np.matmul(ga[1:, t], wh, out=back)
+            dh *= z
+            dh += back[0]
+            dh += back[1]
+            dh += back[2]
             dh += ds[t]
-            if fresh[t].any():
-                dh *= (1 - fresh[t])[:, None]
-        g["Wh"] = s.reshape(-1, H).T @ du.reshape(-1, 3 * H)
-        # the inputs are rows of E @ Wx + b: sum their gradients by code
-        flat, codes = ga.reshape(-1, 3 * H), x.ravel()
+            if begin[t]:
+                dh[fresh[t] > 0] = 0
+
+        def summed(left: np.ndarray, right: np.ndarray, order: tuple) -> np.ndarray:
+            """Products of a window's rows with their gradients of three gates, added up step by step; the gates in this order."""
+            return np.matmul(left.transpose(0, 2, 1), right).sum(1)[order, :].transpose(1, 0, 2).reshape(left.shape[2], -1)
+
+        g["Wh"] = summed(s, ga[1:], (0, 1, 2))
+        inputs = summed(np.take(embedded, x, axis=0), ga[:3], (1, 2, 0))
+        g["Wx"], g["b"] = inputs[:-1], inputs[-1]
+        # what comes to each place's embedding, added up by code; a complex number holds two columns, which halves the calls
+        each = np.matmul(ga[:3].reshape(3, -1, H), np.ascontiguousarray(p["Wx"].reshape(EMBED, 3, H)[:, (2, 0, 1)].transpose(1, 2, 0)))
+        each[0] += each[1]
+        each[0] += each[2]
+        codes = x.ravel()
         order = np.argsort(codes.astype(np.uint16), kind="stable")
-        sorted_ = codes[order]
-        at = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
-        g["b"], g["Wx"], g["E"] = flat.sum(0), p["E"][codes].T @ flat, np.zeros_like(p["E"])
-        g["E"][sorted_[at]] = np.add.reduceat((flat @ p["Wx"].T)[order], at, axis=0)
+        codes = codes[order]
+        at = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+        g["E"] = np.zeros_like(p["E"])
+        g["E"][codes[at]] = np.add.reduceat(np.take(each[0], order, axis=0).view(np.result_type(each, np.complex64)), at, axis=0).view(each.dtype)
         return g
 
     def train(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, last: float = 0.0) -> None:
